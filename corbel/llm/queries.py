@@ -3,6 +3,7 @@
 from .common import table
 from .minhash import fingerprint
 from .simhash import near_duplicates
+from .toxicity import toxic_documents
 
 
 def op3_simhash(spark, sf_dir):
@@ -13,5 +14,9 @@ def op7_minhash(spark, sf_dir):
     return fingerprint(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_simhash, op7_minhash)}
+def op9_toxicity(spark, sf_dir):
+    return toxic_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op3_simhash, op7_minhash, op9_toxicity)}
 ORACLE = {}
