@@ -2,6 +2,10 @@
 
 from .common import table
 from .minhash import fingerprint
+from .mixing import SQL as MIX_SQL
+from .mixing import mix
+from .packing import pack
+from .pii import pseudonyms
 from .simhash import near_duplicates
 from .toxicity import toxic_documents
 
@@ -17,6 +21,17 @@ def op7_minhash(spark, sf_dir):
 def op9_toxicity(spark, sf_dir):
     return toxic_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
+def op2_pii(spark, sf_dir):
+    return pseudonyms(table(spark, sf_dir, "documents"))
 
-QUERIES = {f.__name__: f for f in (op3_simhash, op7_minhash, op9_toxicity)}
-ORACLE = {}
+
+def op5_mixing(spark, sf_dir):
+    return mix(table(spark, sf_dir, "documents"))
+
+
+def op8_packing(spark, sf_dir):
+    return pack(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op2_pii, op3_simhash, op5_mixing, op7_minhash, op8_packing, op9_toxicity)}
+ORACLE = {"op5_mixing": MIX_SQL}
