@@ -87,12 +87,13 @@ def phone(value: str, key: bytes) -> str | None:
     lead = "1" if len(d) == 11 and d[0] == "1" else ""
     if len(d) - len(lead) == 10 and (lead or not value.startswith("+")):
         d = d[len(lead) :]
-        if d[0] in "01":
-            return None
-        low, n = (200, 800) if d[3] >= "2" else (0, 200)  # exchanges from 200 stay so
-        x = ((int(d[:3]) - 200) * n + int(d[3:6]) - low) * 10**4 + int(d[6:])
-        x = permute(x, 800 * n * 10**4, key, f"nanp{low}")
-        return _refill(value, f"{lead}{x // 10**4 // n + 200:03d}{x // 10**4 % n + low:03d}{x % 10**4:04d}")
+        if d[0] in "01" and not lead and "(" not in value:
+            return None  # no such area, and nothing else that makes it a telephone number
+        # Areas and exchanges from 200 stay so, and lower ones stay low.
+        (least, areas), (low, n) = ((200, 800) if c >= "2" else (0, 200) for c in (d[0], d[3]))
+        x = ((int(d[:3]) - least) * n + int(d[3:6]) - low) * 10**4 + int(d[6:])
+        x = permute(x, areas * n * 10**4, key, f"nanp{least}-{low}")
+        return _refill(value, f"{lead}{x // 10**4 // n + least:03d}{x // 10**4 % n + low:03d}{x % 10**4:04d}")
     if value.startswith("+") and 8 <= len(d) <= 15:
         code = len(re.match(r"\+([0-9]*)", value)[1])
         code = code if code < 4 else 2
