@@ -24,7 +24,7 @@ SAMPLE = 256
 #: Texts are passed to the tokenizer in parts of about so many characters, cut where no token can cross.
 PART = 1 << 18
 #: Runs of white space from this length on are encoded without the pattern, whose engine fails on very long ones.
-LONG_SPACE = re.compile(r"\s{1000,}")
+LONG_SPACE = re.compile(r"[^\S\x1c-\x1f]{1000,}")
 
 
 class EliasFano:
@@ -86,12 +86,17 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
+def _space(c: str) -> bool:
+    """White space of the pattern, to which the separators U+001C to U+001F don't belong."""
+    return c.isspace() and not "\x1c" <= c <= "\x1f"
+
+
 def parts(text: str):
     """text in parts, cut only between a character and white space after it: no token crosses there."""
     at = 0
     while len(text) - at > PART:
         to = at + PART
-        while to < len(text) and not (text[to].isspace() and not text[to - 1].isspace()):
+        while to < len(text) and not (_space(text[to]) and not _space(text[to - 1])):
             to += 1
         yield text[at:to]
         at = to
