@@ -4,7 +4,7 @@ import builtins
 import os
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of an Arrow batch. Documents can be long, so batches stay short.
@@ -48,6 +48,19 @@ def worker_cache(key, make):
     return store[key]
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """name, with underscores added as long as df has such a column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def named(name: str) -> Column:
+    """The column of that very name, also with dots in it."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *more: str) -> DataFrame:
     """(id, text, more...) without rows that have no id; a null text is ''."""
     return df.select(

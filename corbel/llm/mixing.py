@@ -15,7 +15,7 @@ tasks, and texts are never shuffled to be placed.
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpoint
+from .common import checkpoint, named, unused
 
 #: Leading hex digits of a document's hash that make its bucket: 4096 buckets.
 BUCKET_DIGITS = 3
@@ -112,11 +112,16 @@ def mix(docs: DataFrame, alphas=ALPHAS, seed: str = SEED) -> DataFrame:
 
 
 def curriculum(docs: DataFrame, tilt: float = TILT, seed: str = SEED) -> DataFrame:
-    """docs, each row once, range-sorted by its position under the tilted schedule; rows without doc_id come last."""
+    """docs, each row once, range-sorted by its position under the tilted schedule; rows without doc_id come last.
+
+    Rows that repeat a doc_id share the position of one of them. Columns besides
+    doc_id, source and text may have any names.
+    """
+    own, place = unused(docs, "__id"), unused(docs, "__position")
     placed = positions(lengths(docs, seed).dropDuplicates(["doc_id"]), lambda totals: tilted(totals, tilt, seed), repeat=False)
-    placed = placed.select(F.col("doc_id").alias("__id"), F.col("position").alias("__position"))
-    rows = docs.join(placed, F.col("doc_id").cast("long") == F.col("__id"), "left")
-    return rows.orderBy(F.asc_nulls_last("__position"), "doc_id").select(*[F.col(c) for c in docs.columns])
+    placed = placed.select(F.col("doc_id").alias(own), F.col("position").alias(place))
+    rows = docs.join(placed, F.col("doc_id").cast("long") == F.col(own), "left")
+    return rows.orderBy(F.asc_nulls_last(place), "doc_id").select(*[named(c) for c in docs.columns])
 
 
 SQL = f"""

@@ -19,11 +19,11 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textkernel as K
-from .common import checkpoint, session, texts
+from .common import checkpoint, named, session, texts, unused
 from .graphs import components
 
 LANES = 4
@@ -217,14 +217,14 @@ def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
 def drop_near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     """docs with one document of each group: that of least doc_id.
 
-    Rows without doc_id stay. Of rows that repeat a doc_id one stays.
+    Rows without doc_id stay. Of rows that repeat a doc_id one stays, the first
+    by its other columns. Columns besides doc_id and text may have any names.
     """
-    from pyspark.sql import Window
-
-    drop = checkpoint(near_duplicates(docs, max_bits)).select(F.col("doc_id").alias("__drop"))
-    kept = docs.join(drop, F.col("doc_id").cast("long") == F.col("__drop"), "left_anti")
-    again = docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1")
+    out, copy = unused(docs, "__drop"), unused(docs, "__copy")
+    drop = checkpoint(near_duplicates(docs, max_bits)).select(F.col("doc_id").alias(out))
+    kept = docs.join(drop, F.col("doc_id").cast("long") == F.col(out), "left_anti")
+    again = docs.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1")
     if again.isEmpty():
         return kept
-    w = Window.partitionBy("doc_id").orderBy(*[F.col(c) for c, t in docs.dtypes if c != "doc_id" and not t.startswith("map")])
-    return kept.withColumn("__copy", F.when(F.col("doc_id").isNull(), F.lit(1)).otherwise(F.row_number().over(w))).filter("__copy = 1").drop("__copy")
+    w = Window.partitionBy("doc_id").orderBy("text", *[named(c) for c, t in docs.dtypes if c not in ("doc_id", "text") and "map<" not in t and "variant" not in t])
+    return kept.withColumn(copy, F.when(F.col("doc_id").isNull(), F.lit(1)).otherwise(F.row_number().over(w))).filter(F.col(copy) == 1).drop(copy)
