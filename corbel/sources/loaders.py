@@ -13,6 +13,7 @@ from xml.etree import ElementTree
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import normal_extension, strip_html
 
@@ -82,13 +83,13 @@ def pretty(text: str) -> str | None:
         return None
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def json_text(s: pd.Series) -> pd.Series:
     """The value with sorted keys and two blanks of indentation; what doesn't parse stays."""
     return s.map(lambda t: None if t is None else pretty(t) if pretty(t) is not None else t)
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def jsonl_records(s: pd.Series) -> pd.Series:
     def records(text):
         kept = [x for x in (line.strip() for line in re.split(r"\r?\n", text)) if x]
