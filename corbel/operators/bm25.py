@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 from ..functions.text import tokens
 
 K1, B = 1.5, 0.75
+#: (query, term) rows up to which the terms' weights are broadcast; more are joined by shuffles.
+MOST_BROADCAST = 200_000
 
 
 def postings(chunks: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -25,17 +27,36 @@ def document_frequency(index: DataFrame) -> DataFrame:
     return index.groupBy("term").agg(F.count("*").alias("df"))
 
 
-def scores(index: DataFrame, stats: DataFrame, queries: DataFrame) -> DataFrame:
+def asked_terms(queries: DataFrame) -> DataFrame:
+    """(query_id, term, qn) of queries (query_id, text)."""
+    return queries.select("query_id", F.explode(tokens(F.coalesce(F.col("text"), F.lit("")))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qn"))
+
+
+def used_postings(chunks: DataFrame, asked: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """postings() of the asked terms alone: other words are dropped before anything is shuffled. The rows are
+    partitioned by chunk, which is what scores() groups by again after it has broadcast the weights."""
+    held = chunks.select(F.col(id_col).alias("chunk_id"), tokens(F.coalesce(F.col("text"), F.lit(""))).alias("terms"))
+    rows = held.select("chunk_id", F.size("terms").cast("long").alias("dl"), F.explode("terms").alias("term"))
+    return rows.join(asked.select("term").distinct(), "term", "left_semi").repartition("chunk_id").groupBy("chunk_id", "dl", "term").agg(F.count("*").alias("tf")).select("chunk_id", "term", "tf", "dl")
+
+
+def text_stats(chunks: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """corpus_stats() from the texts in one pass, without postings."""
+    n = F.count(F.col(id_col))
+    total = F.sum(F.size(tokens(F.coalesce(F.col("text"), F.lit("")))).cast("long"))
+    return chunks.agg(n.alias("n"), (F.coalesce(total, F.lit(0)) / F.greatest(n, F.lit(1))).cast("double").alias("avgdl"))
+
+
+def scores(used: DataFrame, stats: DataFrame, asked: DataFrame) -> DataFrame:
     """(query_id, chunk_id, score) of all chunks that have a term of the query; a repeated query term counts again.
 
-    queries: (query_id, text). Only the postings of query terms are joined, and
-    the postings of one term give its document frequency.
+    used: postings of at least the asked terms; asked: asked_terms().
     """
-    asked = queries.select("query_id", F.explode(tokens(F.coalesce(F.col("text"), F.lit("")))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qn"))
-    used = index.join(asked.select("term").distinct(), "term", "left_semi")
     df = used.groupBy("term").agg(F.count("*").alias("df"))
     one = F.broadcast(stats)  # one row
     weight = asked.join(df, "term").crossJoin(one).select("query_id", "term", "avgdl", (F.col("qn") * F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)).alias("w"))
+    if asked.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST:
+        weight = F.broadcast(weight)
     part = F.col("w") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     return used.join(weight, "term").groupBy("query_id", "chunk_id").agg(F.sum(part).alias("score"))
 
@@ -49,5 +70,7 @@ def top(rows: DataFrame, k: int, *keys: str) -> DataFrame:
 
 def search(chunks: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "doc_id", index: DataFrame | None = None) -> DataFrame:
     """(query_id, chunk_id, score, rank)"""
-    index = postings(chunks, id_col) if index is None else index
-    return top(scores(index, corpus_stats(chunks, index, id_col), queries), k)
+    asked = asked_terms(queries)
+    if index is None:
+        return top(scores(used_postings(chunks, asked, id_col), text_stats(chunks, id_col), asked), k)
+    return top(scores(index.join(asked.select("term").distinct(), "term", "left_semi").repartition("chunk_id"), corpus_stats(chunks, index, id_col), asked), k)

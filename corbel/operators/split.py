@@ -43,7 +43,14 @@ def byte_windows(text: str, size: int = 512, overlap: int = 50) -> list[str]:
 
 def token_chunks(text: str, most: int = 256, overlap: int = 20, per_token: float = 4.0) -> list[str]:
     """Words packed up to `most` tokens, a word of b bytes having ceil(b / per_token)."""
-    count = lambda s: int(np.ceil(np.float32(len(s.encode())) / np.float32(per_token)))
+    size: dict[int, int] = {}
+
+    def count(s: str) -> int:
+        n = len(s.encode())
+        if n not in size:
+            size[n] = int(np.ceil(np.float32(n) / np.float32(per_token)))
+        return size[n]
+
     if count(text) <= most:
         return [text]
     out, held, total = [], [], 0
