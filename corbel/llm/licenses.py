@@ -17,7 +17,7 @@ from .license_rules import RULES
 
 #: Classes by rank. An SPDX tag states the licence exactly; a name may be a mere mention.
 RANK = {"tag": 5, "text": 4, "notice": 3, "url": 2, "title": 2, "name": 1}
-GAP = r"[\s/*#;>|]+"
+GAP = r"(?:[\s/*#;>|]+)"
 SPDX = ("*", "tag", ("spdx-license-identifier",), r"SPDX-License-Identifier:[ \t]*\(?([A-Za-z0-9.+-]+(?:[ \t]+(?:OR|AND|WITH)[ \t]+[A-Za-z0-9.+-]+)*)\)?")
 
 
