@@ -6,6 +6,7 @@ import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Rows of an Arrow batch. Documents can be long, so batches stay short.
 ARROW_ROWS = 500
@@ -61,6 +62,17 @@ def named(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def map_rows(df: DataFrame, run, *more: Column) -> DataFrame:
+    """df.mapInArrow(run) over df's columns and `more`, giving df's columns; batches have them by place.
+
+    The columns are renamed for it, since mapInArrow takes no names with dots.
+    """
+    plain = [f"c{i}" for i in range(len(df.columns))]
+    kind = T.StructType([T.StructField(n, f.dataType, f.nullable) for n, f in zip(plain, df.schema)])
+    rows = df.select(*[named(c).alias(n) for c, n in zip(df.columns, plain)], *[c.alias(f"m{i}") for i, c in enumerate(more)])
+    return rows.mapInArrow(run, kind).toDF(*df.columns)
+
+
 def texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *more: str) -> DataFrame:
     """(id, text, more...) without rows that have no id; a null text is ''."""
     return df.select(

@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import session
+from .common import map_rows, session
 
 KEY = "corbel-demonstration-key"
 ROUNDS = 8
@@ -317,4 +317,4 @@ def pseudonymise_documents(docs: DataFrame, key: str = KEY) -> DataFrame:
                 cols[chars] = pc.if_else(pa.array(n > 0), pc.utf8_length(cols[at]).cast(cols[chars].type), cols[chars])
             yield pa.RecordBatch.from_arrays(cols, schema=batch.schema)
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_rows(docs, run)
