@@ -111,7 +111,9 @@ def pack_docs():
     return out
 
 
-def test_neighbours_equal_brute_force(spark, monkeypatch):
+@pytest.mark.parametrize("full", [packing.FULL, 2])
+def test_neighbours_equal_brute_force(spark, monkeypatch, full):
+    monkeypatch.setattr(packing, "FULL", full)
     texts = pack_docs()
     h, at, *_ = K.words(pa.array(texts))
     s = packing.sketches(*K.shingles(h, at, packing.SHINGLE))
