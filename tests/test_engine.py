@@ -30,7 +30,7 @@ def folder(tmp_path):
         p.write_text(text)
     (tmp_path / "in/bad.txt").write_bytes(b"\xff\xfe\xfa")
     with zipfile.ZipFile(tmp_path / "in/j.docx", "w") as z:
-        z.writestr("word/document.xml", '<w:document xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"><w:body><w:p><w:r><w:t xml:space="preserve">Grüße </w:t></w:r><w:r><w:t>dort</w:t></w:r></w:p></w:body></w:document>')
+        z.writestr("word/document.xml", f'<w:document xmlns:w="{loaders._W[1:-1]}"><w:body><w:p><w:r><w:t xml:space="preserve">Grüße </w:t></w:r><w:r><w:t>dort</w:t></w:r></w:p></w:body></w:document>')
     return tmp_path / "in"
 
 

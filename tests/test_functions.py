@@ -15,9 +15,9 @@ from corbel.schema import ConfigError, SplitError
 @pytest.mark.parametrize(
     "text,n",
     [
-        ("Dr. Smith went to Washington. He met with Prof. Jones and discussed e.g. various topics.", 2),
-        ("What is this? It is a test! And here is more.", 3),
-        ("J. K. Rowling wrote a book. The books are popular.", 2),
+        ("Mrs. Gray came home. She asked Prof. Hill about fruit, e.g. ripe pears.", 2),
+        ("Who is it? Nobody! Then all was quiet.", 3),
+        ("A. B. Marsh wrote it. Few have read it.", 2),
         ("", 0), ("no stop", 1), ("  . ", 1),
     ],
 )
