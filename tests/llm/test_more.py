@@ -175,6 +175,17 @@ def test_parts_are_cut_beyond_the_limit(spark):
     covered(packing.pack(table(spark, [row(i, t) for i, t in docs.items()]), 256, most=2).collect(), docs, 256)
 
 
+def test_paths_are_the_same_at_every_limit(spark):
+    r = random.Random(4)
+    edges = sorted({(min(a, b), max(a, b)) for a, b in ((r.randrange(150), r.randrange(150)) for _ in range(400)) if a != b})
+    edges = [(a, b, r.randrange(2, 5), r.randrange(50)) for a, b in edges]
+    want = [(n, p[0], i) for p in packing.chains(sorted({n for e in edges for n in e[:2]}), edges) for i, n in enumerate(p)]
+    got = rows(packing.joined(spark.createDataFrame(edges, "a long, b long, shared int, tie long")))
+    assert sorted((n, p.node, i) for n, p, i in got) == sorted(want) and max(i for *_, i in want) > 5
+    docs = table(spark, [row(i, t) for i, t in enumerate(pack_docs())])
+    assert sorted(rows(packing.pack(docs, 256, most=2))) == sorted(rows(packing.pack(docs, 256)))
+
+
 def test_packing_awkward(spark):
     docs = table(spark, awkward())
     got = packing.pack(docs).collect()
