@@ -28,7 +28,7 @@ def mixing(spark, docs, sf_dir):
 
 
 def packing(spark, docs, sf_dir):
-    return pack(docs)
+    return pack(docs, in_order=True)
 
 
 STAGES = [("toxicity", toxicity), ("near_duplicates", near_duplicates), ("pii", pii), ("mixing", mixing), ("packing", packing)]
@@ -38,7 +38,7 @@ ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
-    """The packed windows of documents after all stages.
+    """The packed windows of documents after all stages, along the order that mixing gives them.
 
     Stages are written below spark.checkpoint.dir, a folder that all executors
     share; where that is unset, as in tests, below the temporary directory.

@@ -285,6 +285,23 @@ def test_pipeline_stages(spark, tmp_path):
     covered(after.collect(), last, packing.WINDOW)
 
 
+def test_windows_follow_the_schedule(spark, tmp_path, monkeypatch):
+    docs = [row(i, prose(60, 5000 + i), source=f"s{i % 2}") for i in range(400)]
+    table(spark, docs).drop("__drop").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+
+    def early():
+        windows = sorted(corpus_pipeline.run(spark, str(tmp_path)).collect(), key=lambda r: r.window_id)
+        ids = [s.doc_id for w in windows[: len(windows) // 3] for s in w.segments]
+        return sum(i % 2 for i in ids) / len(ids)
+
+    got = {}
+    for tilt in (2.0, -2.0):
+        monkeypatch.setattr(corpus_pipeline, "curriculum", lambda d: mixing.curriculum(d, tilt))
+        got[tilt] = early()
+    assert abs(got[2.0] - got[-2.0]) > 0.1 and (got[2.0] - 0.5) * (got[-2.0] - 0.5) < 0
+
+
 @pytest.mark.parametrize("empty", [False, True])
 def test_pipeline_awkward(spark, tmp_path, empty):
     docs = table(spark, awkward()).drop("__drop")
