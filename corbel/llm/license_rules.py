@@ -1,7 +1,7 @@
 """Signature rules for licences, in order: a rule before another wins where both match the same text.
 
 Each line has the licence, the rule's class, its keywords (all must be in the
-text, in small letters) and its pattern. A blank in a pattern stands for white
+text, in small letters, where the pattern implies them) and its pattern. A blank in a pattern stands for white
 space, also with comment marks between lines; case doesn't matter.
 """
 

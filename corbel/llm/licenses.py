@@ -1,13 +1,16 @@
 """Licence detection by ordered signature rules.
 
 The keywords of all rules are sought at once by an Aho-Corasick automaton;
-only rules whose keywords are all there are tried. Matches are
+only rules whose keywords are all there are tried. Keywords that a rule's
+pattern doesn't imply are replaced by what it implies. Matches are
 accepted by class, then the longer, the earlier and the one whose rule comes
 first; a match whose interval is inside, around or across an accepted one is
 suppressed.
 """
 
 import re
+from re import _constants as C
+from re import _parser
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -43,29 +46,66 @@ def flexible(pattern: str) -> str:
     return "".join(out)
 
 
+def implied(tree) -> list[frozenset[str]]:
+    """Sets of strings in small letters; of each set one is in every match of the parsed pattern."""
+    out, run = [], ""
+    for op, arg in [*tree, (C.ANY, None)]:
+        if op is C.LITERAL:
+            run += chr(arg).lower()
+            continue
+        if op is C.AT:
+            continue
+        if run:
+            out.append(frozenset([run]))
+            run = ""
+        if op is C.SUBPATTERN:
+            out += implied(arg[3])
+        elif op is C.MAX_REPEAT and arg[0] > 0 or op is C.MIN_REPEAT and arg[0] > 0:
+            out += implied(arg[2])
+        elif op is C.BRANCH:
+            each = [max(implied(x), key=weight, default=None) for x in arg[1]]
+            if None not in each:
+                out.append(frozenset().union(*each))
+    return out
+
+
+def weight(alternatives: frozenset[str]) -> int:
+    return min(map(len, alternatives))
+
+
+def needed(keys: tuple[str, ...], pattern: str) -> list[frozenset[str]]:
+    """Sets of keywords of which one each must be in a text that the pattern matches: keys where the pattern
+    implies them all, else all that it implies."""
+    sure = implied(_parser.parse(pattern, re.I))
+    if all(any(all(k in x for x in one) for one in sure) for k in keys):
+        return [frozenset([k]) for k in keys]
+    return sure
+
+
 class Scanner:
     def __init__(self):
         import ahocorasick
 
         self.rules = [(name, kind, re.compile(pattern, re.I | (re.S if ".{" in pattern else 0))) for name, kind, _, pattern in rules()]
-        wanted = [keys for _, _, keys, _ in rules()]
-        words = sorted({k for keys in wanted for k in keys})
+        wanted = [needed(keys, pattern) for _, _, keys, pattern in rules()]
+        words = sorted({k for sets in wanted for one in sets for k in one})
         number = {w: i for i, w in enumerate(words)}
-        self.needs = [frozenset(number[k] for k in keys) for keys in wanted]
+        self.needs = [[frozenset(number[k] for k in one) for one in sets] for sets in wanted]
         self.automaton = ahocorasick.Automaton()
         for w, i in number.items():
             self.automaton.add_word(w, i)
         self.automaton.make_automaton()
         self.by_first: dict[int, list[int]] = {}
-        for i, keys in enumerate(wanted):
-            self.by_first.setdefault(number[max(keys, key=len)], []).append(i)
+        for i, sets in enumerate(wanted):
+            for k in max(sets, key=weight):
+                self.by_first.setdefault(number[k], []).append(i)
 
     def scan(self, text: str) -> list[tuple[int, int, str, int]]:
         """(start, end, licence, rule number) of the detections that remain, in order of the text."""
         hits = {i for _, i in self.automaton.iter(text.lower())}
         found = []
-        for rule in sorted(r for h in hits for r in self.by_first.get(h, ())):
-            if self.needs[rule] <= hits:
+        for rule in sorted({r for h in hits for r in self.by_first.get(h, ())}):
+            if all(one & hits for one in self.needs[rule]):
                 name, kind, pattern = self.rules[rule]
                 for m in pattern.finditer(text):
                     found.append((-RANK[kind], m.start() - m.end(), m.start(), rule, m.end(), m[1] if name == "*" else name))

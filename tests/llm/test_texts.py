@@ -182,6 +182,41 @@ def test_contained_detections_are_suppressed():
     assert s.scan("the committee will permit an apache pilot") == []
 
 
+def matching(tree, r):
+    """A random text that the parsed pattern may match."""
+    out = ""
+    for op, arg in tree:
+        name = str(op)
+        if name == "LITERAL":
+            out += chr(arg)
+        elif name == "SUBPATTERN":
+            out += matching(arg[3], r)
+        elif name == "BRANCH":
+            out += matching(r.choice(arg[1]), r)
+        elif name in ("MAX_REPEAT", "MIN_REPEAT"):
+            out += "".join(matching(arg[2], r) for _ in range(r.choice((arg[0], min(arg[1], arg[0] + 1)))))
+        elif name == "IN":
+            first = str(arg[0][0])
+            out += chr(arg[0][1]) if first == "LITERAL" else "1" if first == "RANGE" and chr(arg[0][1][0]).isdigit() else "A" if first == "RANGE" else "x" if first == "NEGATE" else "1" if "DIGIT" in str(arg[0][1]) else " "
+        elif name in ("ANY", "NOT_LITERAL"):
+            out += "x"
+    return out
+
+
+def test_filter_passes_every_match():
+    s, r, tried = licenses.Scanner(), random.Random(3), set()
+    for i, (_, _, pattern) in enumerate(s.rules):
+        for _ in range(60):
+            text = matching(re._parser.parse(pattern.pattern, re.I), r)
+            if pattern.search(text):
+                tried.add(i)
+                hits = {n for _, n in s.automaton.iter(text.lower())}
+                assert all(one & hits for one in s.needs[i]) and any(i in s.by_first.get(h, ()) for h in hits), (i, text)
+    assert len(tried) >= 0.95 * len(s.rules)
+    for text, name in (("Licensed under the GPL", "GPL-unspecified"), ("under the same terms as Ruby", "Ruby"), ("Original BSD License", "BSD-4-Clause"), ("(c) 2021 Acme. All rights reserved.", "all-rights-reserved")):
+        assert [x[2] for x in s.scan(text)] == [name]
+
+
 def test_licenses_awkward(spark):
     docs = table(spark, awkward() + [row(40, "x SPDX-License-Identifier: MIT"), row(40, "x SPDX-License-Identifier: MIT")])
     got = licenses.scan(docs).collect()
