@@ -273,7 +273,7 @@ def pseudonymise(text: str, key: bytes) -> tuple[str, list[str]]:
 def _apply(col: pa.Array, key: bytes) -> tuple[pa.Array, np.ndarray]:
     """(column with pseudonyms, number of values replaced in each row); nulls stay null."""
     n = np.zeros(len(col), dtype=np.int64)
-    look = pc.fill_null(pc.match_substring_regex(col, r"[0-9@]|[:=]\s*[\"']?[A-Za-z0-9+/_-]{8}"), False)
+    look = pc.fill_null(pc.match_substring_regex(col, r"[0-9@]|(?:AKIA|ASIA|AGPA|AIDA|AROA)[A-Z]{16}|[:=]\s*[\"']?[A-Za-z0-9+/_-]{8}"), False)
     at = np.flatnonzero(look.to_numpy(zero_copy_only=False))
     changed, new = np.zeros(len(col), dtype=bool), []
     for i, text in zip(at.tolist(), col.take(pa.array(at)).to_pylist()):
