@@ -11,18 +11,30 @@ different values stay different, and no table of values is kept or joined.
 import datetime
 import hashlib
 import re
+import secrets
+import unicodedata
+from functools import lru_cache
 from math import prod
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_rows, session
+from . import textkernel as K
+from .common import map_rows
 
-KEY = "corbel-demonstration-key"
+#: The session's setting with the key of the queries and the pipeline.
+KEY_SETTING = "spark.corbel.pii.key"
 ROUNDS = 8
+_OWN_KEY = secrets.token_hex(32)
+
+
+def session_key(spark: SparkSession) -> str:
+    """The key in KEY_SETTING. Where it is unset, one made at random for this driver process: its pseudonyms are
+    linked across all documents and tables of the process, but not with those of another one."""
+    return spark.conf.get(KEY_SETTING, None) or _OWN_KEY
 
 
 def permute(x: int, size: int, key: bytes, tweak: str) -> int:
@@ -123,26 +135,37 @@ def iban(value: str, key: bytes) -> str | None:
     return re.sub(r"\S", lambda _: next(it), value)
 
 
+@lru_cache(maxsize=4096)
+def _members(block: int, category: str) -> str:
+    """The characters beyond ASCII of one general category among the 256 of a block."""
+    return "".join(c for c in map(chr, range(max(128, block << 8), (block + 1) << 8)) if unicodedata.category(c) == category)
+
+
+def _class(c: str) -> str:
+    """The characters that may stand for c; c alone if it is no letter or digit. They take as many bytes as c."""
+    for own in ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"):
+        if c in own:
+            return own
+    return _members(ord(c) >> 8, unicodedata.category(c)) if ord(c) > 127 and c.isalnum() else c
+
+
 def by_class(value: str, key: bytes, tweak: str) -> str:
-    """Digits, small and capital letters permuted together, each within its class; the rest stays."""
-    bases = [10 if c in "0123456789" else 26 if "a" <= c <= "z" or "A" <= c <= "Z" else 1 for c in value]
-    zero = ["0" if b == 10 else "a" if "a" <= c <= "z" else "A" for c, b in zip(value, bases)]
+    """Letters and digits permuted together, each within its class of _class(); the rest stays."""
+    classes = [_class(c) for c in value]
     x = 0
-    for c, b, z in zip(value, bases, zero):
-        if b > 1:
-            x = x * b + ord(c) - ord(z)
-    shape = "".join(z if b > 1 else c for c, b, z in zip(value, bases, zero))
-    x, out = permute(x, prod(bases), key, tweak + shape), []
-    for c, b, z in zip(reversed(value), reversed(bases), reversed(zero)):
-        if b > 1:
-            x, r = divmod(x, b)
-            c = chr(ord(z) + r)
-        out.append(c)
+    for c, own in zip(value, classes):
+        x = x * len(own) + own.index(c)
+    x, out = permute(x, prod(map(len, classes)), key, tweak + "".join(own[0] for own in classes)), []
+    for own in reversed(classes):
+        x, r = divmod(x, len(own))
+        out.append(own[r])
     return "".join(reversed(out))
 
 
 def mail(value: str, key: bytes) -> str | None:
     name, domain = value.rsplit("@", 1)
+    if all(len(_class(c)) < 2 for c in name):
+        return None  # nothing in it could be another
     return by_class(name, key, "mail@" + domain.lower()) + "@" + domain
 
 
@@ -286,35 +309,42 @@ def _apply(col: pa.Array, key: bytes) -> tuple[pa.Array, np.ndarray]:
     return pc.replace_with_mask(col, pa.array(changed), pa.array(new, col.type)), n
 
 
-def pseudonyms(docs: DataFrame, key: str = KEY) -> DataFrame:
+def pseudonyms(docs: DataFrame, key: str) -> DataFrame:
     """(doc_id, text, n_replaced) of every row; a null text stays null with 0 replaced.
 
     Rows without doc_id and repeated rows are treated like others. A value that
-    fails its validation stays. Other columns aren't read.
+    fails its validation stays. Texts of any length are read whole. An empty
+    table gives no rows. Other columns aren't read.
     """
     secret_key = hashlib.blake2b(key.encode()).digest()
-    session(docs)
 
     def run(batches):
         for batch in batches:
-            col, n = _apply(batch.column(1), secret_key)
-            yield pa.RecordBatch.from_arrays([batch.column(0), col, pa.array(n)], ["doc_id", "text", "n_replaced"])
+            for part in K.slices(batch):
+                col, n = _apply(part.column(1), secret_key)
+                yield pa.RecordBatch.from_arrays([part.column(0), col, pa.array(n)], ["doc_id", "text", "n_replaced"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, text string, n_replaced long")
 
 
-def pseudonymise_documents(docs: DataFrame, key: str = KEY) -> DataFrame:
-    """docs with pseudonyms in text and, where there is a column n_chars, its new length; the other columns stay."""
+def pseudonymise_documents(docs: DataFrame, key: str) -> DataFrame:
+    """docs with pseudonyms in text and, where there is a column n_chars, its new length; the other columns stay.
+
+    Every row stays, also those without doc_id, repeated ones and those whose
+    text is null or empty; n_chars changes only where a value was replaced.
+    Texts of any length are read whole. An empty table gives no rows. Columns
+    besides text and n_chars may have any names.
+    """
     secret_key = hashlib.blake2b(key.encode()).digest()
-    session(docs)
     at, chars = docs.columns.index("text"), docs.columns.index("n_chars") if "n_chars" in docs.columns else None
 
     def run(batches):
         for batch in batches:
-            cols = list(batch.columns)
-            cols[at], n = _apply(cols[at], secret_key)
-            if chars is not None:
-                cols[chars] = pc.if_else(pa.array(n > 0), pc.utf8_length(cols[at]).cast(cols[chars].type), cols[chars])
-            yield pa.RecordBatch.from_arrays(cols, schema=batch.schema)
+            for part in K.slices(batch, f"c{at}"):
+                cols = list(part.columns)
+                cols[at], n = _apply(cols[at], secret_key)
+                if chars is not None:
+                    cols[chars] = pc.if_else(pa.array(n > 0), pc.utf8_length(cols[at]).cast(cols[chars].type), cols[chars])
+                yield pa.RecordBatch.from_arrays(cols, schema=part.schema)
 
     return map_rows(docs, run)
