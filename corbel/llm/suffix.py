@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textkernel as K
-from .common import checkpoint, session, texts
+from .common import checkpoint, texts
 
 MIN_WORDS = 50
 ANCHOR = 8
@@ -69,6 +69,14 @@ def segments(h: np.ndarray, rows: np.ndarray, least: int):
     return row[start], start - rows[row[start]], count, m[start], content
 
 
+def content_hash(words: np.ndarray, windows: int) -> int:
+    """The content hash that segments() gives a segment of these words, as a signed number."""
+    power = np.ones(len(words), dtype=np.uint64)
+    np.cumprod(np.full(len(words) - 1, R, dtype=np.uint64), out=power[1:])
+    total = (K.mix(words + K.M3) * power).sum(dtype=np.uint64)
+    return int(K.mix(np.array([total + np.uint64(windows)], dtype=np.uint64)).view(np.int64)[0])
+
+
 def transform(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """(suffix array by at least the first `depth` symbols, Burrows-Wheeler transform) of a text of ranks."""
     n = len(text)
@@ -161,7 +169,6 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     with different texts are one document whose texts are each searched. Null
     and empty texts and those of fewer words give no rows.
     """
-    session(docs)
     rows = texts(docs)
 
     def cut(batches):
@@ -193,7 +200,8 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
                     own = h[at[i] : at[i + 1]]
                     for x in wanted:
                         words = own[x["s"] : x["s"] + x["n"] + min_words - 1]
-                        if len(words) == x["n"] + min_words - 1:
+                        # Of several texts with one doc_id only that which has the class may stand for it.
+                        if len(words) == x["n"] + min_words - 1 and content_hash(words, x["n"]) == x["c"]:
                             for k in ("m", "c", "lo", "hi"):
                                 out[k].append(x[k])
                             out["words"].append(words.tobytes())
