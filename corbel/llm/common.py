@@ -8,18 +8,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Rows of an Arrow batch. Documents can be long, so batches stay short.
-ARROW_ROWS = 500
 #: Text bytes that one numpy pass works on; keeps temporaries near the cache.
 CHUNK_BYTES = 1 << 20
 
 
-def session(df: DataFrame) -> SparkSession:
-    spark = df.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
-    return spark
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -57,6 +49,18 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
+def row_keys(df: DataFrame) -> tuple[DataFrame, str, str]:
+    """(df with two columns of longs that tell its rows apart, the columns' names), the same in every run over it.
+
+    The rows of written files have their file and number; any other table is
+    checkpointed with numbers.
+    """
+    file, row = unused(df, "__file"), unused(df, "__row")
+    if df._jdf.queryExecution().analyzed().getClass().getSimpleName() == "LogicalRelation":
+        return df.withColumns({file: F.xxhash64("_metadata.file_path"), row: F.col("_metadata.row_index")}), file, row
+    return checkpoint(df.withColumns({file: F.lit(0).cast("long"), row: F.monotonically_increasing_id()})), file, row
+
+
 def named(name: str) -> Column:
     """The column of that very name, also with dots in it."""
     return F.col("`" + name.replace("`", "``") + "`")

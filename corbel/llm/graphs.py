@@ -6,17 +6,18 @@ from pyspark.sql import functions as F
 from .common import checkpoint
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of edges (a, b); component is its least node.
 
     Alternates large-star and small-star steps, so the number of rounds grows
     with the logarithm of the graph's diameter and a hub's edges are never
-    paired with each other. Every round is checkpointed. Self-loops and
-    repeated edges change nothing; no edges give no rows.
+    paired with each other. Rounds go on until the edges stay the same; every
+    round is checkpointed. Self-loops and repeated edges change nothing; no
+    edges give no rows.
     """
     e = checkpoint(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
     seen = None
-    for _ in range(most_rounds):
+    while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()

@@ -5,8 +5,9 @@ words. Two documents are near copies if their fingerprints differ in at most
 `max_bits` bits; groups are the connected components of that relation.
 
 Pairs are found in three steps. Banding by sampled bits proposes pairs; the
-number of bits in a band follows from the number of fingerprints, and the
-number of bands from the recall asked for at three quarters of `max_bits`.
+number of bits in a band follows from the number of fingerprints, so that a
+bucket has some 16 unrelated ones at every size, and the number of bands from
+the recall asked for at `max_bits`, which is the same at every size.
 Then the pivot table discards: for each of PIVOTS reference fingerprints it
 has the Hamming distance over each of 32 bytes. By complementing any set of
 bytes each reference stands for 2**32 others, and the maximum coordinate
@@ -19,11 +20,11 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as K
-from .common import checkpoint, named, session, texts, unused
+from .common import checkpoint, row_keys, texts
 from .graphs import components
 
 LANES = 4
@@ -31,7 +32,9 @@ BITS = 64 * LANES
 MAX_BITS = 40
 PIVOTS = 8
 RECALL = 0.95
-SMALL_GROUP = 32
+SMALL_GROUP = 128
+#: Near pairs of a task that are kept before they are thinned to a forest.
+MOST_PAIRS = 1 << 20
 SEEDS = np.array([0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0, 0x082EFA98EC4E6C89], dtype=np.uint64)
 _FP = [f"f{i}" for i in range(LANES)]
 
@@ -70,8 +73,8 @@ def fingerprints(h: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return out
 
 
-def fingerprint_table(docs: DataFrame) -> DataFrame:
-    """(id, f0..f3) of each document that has a word."""
+def fingerprint_table(docs: DataFrame, *more: str) -> DataFrame:
+    """(id, more..., f0..f3) of each document that has a word; more are columns of longs."""
 
     def run(batches):
         for batch in batches:
@@ -79,16 +82,15 @@ def fingerprint_table(docs: DataFrame) -> DataFrame:
                 h, rows, *_ = K.words(part.column(1))
                 fp = fingerprints(h, rows).view(np.int64)
                 keep = np.flatnonzero(np.diff(rows))
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(keep))] + [pa.array(fp[keep, i]) for i in range(LANES)], ["id", *_FP])
+                yield pa.RecordBatch.from_arrays([part.column(i).take(pa.array(keep)) for i in range(part.num_columns) if i != 1] + [pa.array(fp[keep, i]) for i in range(LANES)], ["id", *more, *_FP])
 
-    session(docs)
-    return texts(docs).mapInArrow(run, "id long, " + ", ".join(f"{c} long" for c in _FP))
+    return texts(docs, "doc_id", "text", *more).mapInArrow(run, ", ".join(f"{c} long" for c in ("id", *more, *_FP)))
 
 
 def bands_for(n: int, max_bits: int, recall: float = RECALL) -> tuple[int, int]:
-    """(bits in a band, bands) for n fingerprints."""
-    bits = max(12, math.ceil(math.log2(max(n, 2))) - 1)
-    same = (1 - 0.75 * max_bits / BITS) ** bits
+    """(bits in a band, bands) for n fingerprints: a pair that differs in max_bits shares a band with probability `recall`."""
+    bits = max(12, math.ceil(math.log2(max(n, 2))) - 4)
+    same = math.prod((BITS - max_bits - i) / (BITS - i) for i in range(bits))
     return bits, math.ceil(math.log(1 - recall) / math.log(1 - same))
 
 
@@ -167,6 +169,26 @@ def group_edges(key: np.ndarray, fp: np.ndarray, max_bits: int):
                 rest = np.setdiff1d(rest, hit, assume_unique=True)
 
 
+def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges that connect what the edges (a, b) connect, at most one for each node: to the least node of its part."""
+    ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    label = np.arange(len(ids))
+    while True:
+        least = np.minimum(label[x], label[y])
+        new = label.copy()
+        np.minimum.at(new, x, least)
+        np.minimum.at(new, y, least)
+        np.minimum.at(new, label[x], least)
+        np.minimum.at(new, label[y], least)
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    own = np.flatnonzero(label != np.arange(len(ids)))
+    return ids[own], ids[label[own]]
+
+
 def near_edges(reps: DataFrame, max_bits: int, bits: int, bands: int) -> DataFrame:
     """(a, b): edges that join all near fingerprints which share a band. reps: (id, f0..f3), distinct fingerprints."""
     where = band_positions(bits, bands)
@@ -191,40 +213,54 @@ def near_edges(reps: DataFrame, max_bits: int, bits: int, bands: int) -> DataFra
             return
         ids = t.column("id").to_numpy()
         fp = np.stack([t.column(c).to_numpy() for c in _FP], axis=1).view(np.uint64)
-        for a, b in group_edges(t.column("k").to_numpy(), fp, max_bits):
-            yield pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(ids[b])], ["a", "b"])
+        a, b, held = [], [], 0
+        for x, y in group_edges(t.column("k").to_numpy(), fp, max_bits):
+            a.append(ids[x])
+            b.append(ids[y])
+            held += len(x)
+            if held > MOST_PAIRS:
+                x, y = forest(np.concatenate(a), np.concatenate(b))
+                a, b, held = [x], [y], 0
+                yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], ["a", "b"])
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in forest(np.concatenate(a), np.concatenate(b))], ["a", "b"])
 
     kind = "id long, " + ", ".join(f"{c} long" for c in _FP)
     return reps.select("id", *_FP).mapInArrow(emit, "k long, " + kind).repartition("k").mapInArrow(match, "a long, b long")
 
 
+def grouped(fps: DataFrame, max_bits: int, *key: str) -> DataFrame:
+    """fps (id, key..., f0..f3) and `first`, the struct of id and key that is least in each row's group."""
+    fps = checkpoint(fps)
+    # The numbers of a checkpointed table's rows are the same in every run over it.
+    reps = checkpoint(fps.groupBy(*_FP).agg(F.min(F.struct("id", *key)).alias("own"))).withColumn("node", F.monotonically_increasing_id())
+    bits, bands = bands_for(reps.count(), max_bits)
+    links = near_edges(reps.select(F.col("node").alias("id"), *_FP), max_bits, bits, bands)
+    reps = reps.join(components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    first = reps.groupBy("component").agg(F.min("own").alias("first"))
+    return fps.join(reps.join(first, "component").select(*_FP, "first"), _FP)
+
+
 def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     """(doc_id, duplicate_of): each document that is not the least doc_id of its group, and that least doc_id.
 
     Rows without doc_id and texts that are null or have no word belong to no
-    group. Rows that repeat a doc_id are one document. An empty table gives no
-    rows; columns besides doc_id and text are not read.
+    group. Rows that repeat a doc_id each belong to the group of their text;
+    equal results are one row. Texts of any length are read whole. An empty
+    table gives no rows; columns besides doc_id and text are not read.
     """
-    fps = checkpoint(fingerprint_table(docs))
-    reps = checkpoint(fps.groupBy(*_FP).agg(F.min("id").alias("id")))
-    bits, bands = bands_for(reps.count(), max_bits)
-    links = near_edges(reps, max_bits, bits, bands).distinct()
-    groups = components(links).select(F.col("node").alias("id"), "component")
-    reps = reps.join(groups, "id", "left").select(*_FP, F.coalesce("component", "id").alias("duplicate_of"))
-    return fps.join(reps, _FP).filter("id <> duplicate_of").select(F.col("id").alias("doc_id"), "duplicate_of").distinct()
+    return grouped(fingerprint_table(docs), max_bits).filter("id <> first.id").select(F.col("id").alias("doc_id"), F.col("first.id").alias("duplicate_of")).distinct()
 
 
 def drop_near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
-    """docs with one document of each group: that of least doc_id.
+    """docs with one row of each group: that of least doc_id, and of several with this doc_id one.
 
-    Rows without doc_id stay. Of rows that repeat a doc_id one stays, the first
-    by its other columns. Columns besides doc_id and text may have any names.
+    Rows without doc_id stay, as do those without words. Rows that repeat a
+    doc_id with different texts are documents of their own. Texts of any length
+    are read whole. An empty table gives no rows. Columns besides doc_id and
+    text may have any names.
     """
-    out, copy = unused(docs, "__drop"), unused(docs, "__copy")
-    drop = checkpoint(near_duplicates(docs, max_bits)).select(F.col("doc_id").alias(out))
-    kept = docs.join(drop, F.col("doc_id").cast("long") == F.col(out), "left_anti")
-    again = docs.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1")
-    if again.isEmpty():
-        return kept
-    w = Window.partitionBy("doc_id").orderBy("text", *[named(c) for c, t in docs.dtypes if c not in ("doc_id", "text") and "map<" not in t and "variant" not in t])
-    return kept.withColumn(copy, F.when(F.col("doc_id").isNull(), F.lit(1)).otherwise(F.row_number().over(w))).filter(F.col(copy) == 1).drop(copy)
+    rows, file, row = row_keys(docs)
+    drop = grouped(fingerprint_table(rows, file, row), max_bits, file, row)
+    drop = drop.filter((F.col(file) != F.col("first")[file]) | (F.col(row) != F.col("first")[row])).select(file, row)
+    return rows.join(drop, [file, row], "left_anti").drop(file, row)
