@@ -15,7 +15,8 @@ from re import _parser
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import session, texts, worker_cache
+from . import textkernel as K
+from .common import texts, worker_cache
 from .license_rules import RULES
 
 #: Classes by rank. An SPDX tag states the licence exactly; a name may be a mere mention.
@@ -123,13 +124,14 @@ def scan(docs: DataFrame) -> DataFrame:
     without doc_id; rows that repeat a doc_id each give theirs. An empty table
     gives no rows. Columns besides doc_id and text aren't read. No shuffle is made.
     """
-    session(docs)
 
     def run(batches):
         s = worker_cache("licenses", Scanner)
         for batch in batches:
-            out = [(i, *d) for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for d in s.scan(text)]
-            if out:
+            for part in K.slices(batch):
+                out = [(i, *d) for i, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()) for d in s.scan(text)]
+                if not out:
+                    continue
                 ids, start, end, name, rule = zip(*out)
                 kind = [s.rules[r][1] for r in rule]
                 yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(start), pa.array(end), pa.array(name), pa.array(kind), pa.array(rule, pa.int32())], ["doc_id", "start", "end", "license", "kind", "rule"])

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import session, worker_cache
+from .common import worker_cache
 
 
 def _u16(b, at, end="<"):
@@ -457,7 +457,6 @@ def media(values: DataFrame, id_col: str, content: str, declared: str) -> DataFr
     corrected. Rows without id and repeated rows are treated like others. An
     empty table gives no rows; other columns aren't read. No shuffle is made.
     """
-    session(values)
     schema = pa.schema([("id", pa.int64()), ("offset", pa.int64()), ("length", pa.int64()), ("declared", pa.string()), ("type", pa.string()), ("corrected", pa.bool_()), ("bytes", pa.binary())])
 
     def table(rows):

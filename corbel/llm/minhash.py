@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as K
-from .common import session, texts
+from .common import texts
 
 BINS = 128
 BITS = 8
@@ -74,7 +74,6 @@ def fingerprint(docs: DataFrame, bins: int = BINS, bits: int = BITS, shingle: in
                     out[i] = s.tobytes()
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(rows)), pa.array(out, pa.binary())], ["doc_id", "n_shingles", "signature"])
 
-    session(docs)
     return texts(docs).mapInArrow(run, "doc_id long, n_shingles long, signature binary")
 
 

@@ -20,7 +20,6 @@ from .common import checkpoint, named, unused
 #: Leading hex digits of a document's hash that make its bucket: 4096 buckets.
 BUCKET_DIGITS = 3
 ALPHAS = ((0.0, 1.0), (0.5, 0.75), (1.0, 0.5))
-TILT = 0.5
 SEED = "mix-1"
 
 
@@ -48,17 +47,6 @@ def annealed(totals: DataFrame, alphas=ALPHAS) -> DataFrame:
     return rows.select("source", F.col("k.t").alias("t"), F.pow(F.col("size").cast("double"), F.col("k.a")).alias("w"))
 
 
-def tilted(totals: DataFrame, tilt: float = TILT, seed: str = SEED) -> DataFrame:
-    """(source, t, w): shares that start above or below the source's part of the corpus, by up to `tilt`
-    of it, and end as much on the other side; each integrates to that part, so the corpus is used once."""
-    u = F.conv(F.substring(F.md5(F.concat(F.lit(seed + "/"), "source")), 1, 6), 16, 10).cast("double") / (16**6 - 1) - 0.5
-    rows = totals.withColumn("u", u * tilt)
-    mean = rows.agg((F.sum(F.col("u") * F.col("size")) / F.sum("size")).alias("mean"))
-    rows = rows.crossJoin(F.broadcast(mean))  # one row
-    knots = F.array(*[F.struct(F.lit(t).alias("t"), (F.col("size") * (1 + s * (F.col("u") - F.col("mean")))).alias("w")) for t, s in ((0.0, 1), (1.0, -1))])
-    return rows.select("source", F.explode(knots).alias("k")).select("source", "k.t", "k.w")
-
-
 def segments(schedule: DataFrame) -> DataFrame:
     """(source, t0, t1, w0, w1, d0, d1): the schedule's linear pieces, shares summing to 1 at every moment,
     with the demand d (as a part of the run's tokens) at their ends."""
@@ -71,13 +59,12 @@ def segments(schedule: DataFrame) -> DataFrame:
     return pieces.withColumn("d1", upto).withColumn("d0", F.col("d1") - area)
 
 
-def positions(rows: DataFrame, schedule=annealed, repeat: bool = True) -> DataFrame:
+def positions(rows: DataFrame, schedule=annealed) -> DataFrame:
     """(doc_id, source, epoch, tokens, position), ordered by position.
 
     rows as from lengths(); schedule makes (source, t, w) from (source, size).
     The run is as long as uses every document at least once; a source that is
-    asked for more than it has is passed through again, in epochs from 0. With
-    repeat=False there is epoch 0 alone.
+    asked for more than it has is passed through again, in epochs from 0.
     """
     rows = checkpoint(rows)
     totals = rows.groupBy("source").agg(F.sum("tokens").alias("size"))
@@ -87,7 +74,7 @@ def positions(rows: DataFrame, schedule=annealed, repeat: bool = True) -> DataFr
     run = need.agg(F.max(F.col("size") / F.col("demand")).alias("run"))
     need = need.crossJoin(F.broadcast(run))  # one row
     # The longest source's last token may lie beyond its demand by rounding alone.
-    epochs = F.greatest(F.lit(1), F.ceil(F.col("demand") * F.col("run") / F.col("size") - 1e-9)).cast("int") if repeat else F.lit(1)
+    epochs = F.greatest(F.lit(1), F.ceil(F.col("demand") * F.col("run") / F.col("size") - 1e-9)).cast("int")
     need = need.select("source", "size", "run", "demand", F.explode(F.sequence(F.lit(0), epochs - 1)).alias("epoch"))
     x = (F.col("epoch") * F.col("size") + F.col("upto") - F.col("tokens") / 2) / F.col("run")
     placed = running(rows).join(need, "source").withColumn("x", x).filter("epoch = 0 or x < demand")
@@ -106,22 +93,28 @@ def mix(docs: DataFrame, alphas=ALPHAS, seed: str = SEED) -> DataFrame:
 
     A null source counts as ''. A null or empty text has 1 token. Rows without
     doc_id get no position; rows that repeat one are each placed. An empty
-    table gives no rows. Columns besides doc_id, source and text aren't read.
+    table gives no rows. Texts of any length are weighed whole. Columns besides
+    doc_id, source and text aren't read.
     """
     return positions(lengths(docs, seed), lambda totals: annealed(totals, alphas))
 
 
-def curriculum(docs: DataFrame, tilt: float = TILT, seed: str = SEED) -> DataFrame:
-    """docs, each row once, range-sorted by its position under the tilted schedule; rows without doc_id come last.
+def curriculum(docs: DataFrame, alphas=ALPHAS, seed: str = SEED) -> DataFrame:
+    """docs mixed to the annealed schedule's target weights: range-sorted by position, a row once for each epoch in
+    which it is trained on, so that every row comes at least once and rows of sources that are asked for more than
+    they have come again.
 
-    Rows that repeat a doc_id share the position of one of them. Columns besides
-    doc_id, source and text may have any names.
+    Rows without doc_id come once, last. Rows that repeat a doc_id are placed
+    as one document, that of the least source, then the fewest tokens, and
+    each comes at its positions. A null source counts as ''; null and empty
+    texts have 1 token; texts of any length are weighed whole. An empty table
+    gives no rows. Columns besides doc_id, source and text may have any names.
     """
-    own, place = unused(docs, "__id"), unused(docs, "__position")
-    placed = positions(lengths(docs, seed).dropDuplicates(["doc_id"]), lambda totals: tilted(totals, tilt, seed), repeat=False)
-    placed = placed.select(F.col("doc_id").alias(own), F.col("position").alias(place))
+    own, place, epoch = (unused(docs, c) for c in ("__id", "__position", "__epoch"))
+    rows = lengths(docs, seed).groupBy("doc_id", "key").agg(F.min(F.struct("source", "tokens")).alias("d")).select("doc_id", "d.source", "d.tokens", "key")
+    placed = positions(rows, lambda totals: annealed(totals, alphas)).select(F.col("doc_id").alias(own), F.col("position").alias(place), F.col("epoch").alias(epoch))
     rows = docs.join(placed, F.col("doc_id").cast("long") == F.col(own), "left")
-    return rows.orderBy(F.asc_nulls_last(place), "doc_id").select(*[named(c) for c in docs.columns])
+    return rows.orderBy(F.asc_nulls_last(place), "doc_id", epoch).select(*[named(c) for c in docs.columns])
 
 
 SQL = f"""

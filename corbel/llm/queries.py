@@ -7,7 +7,7 @@ from .minhash import fingerprint
 from .mixing import SQL as MIX_SQL
 from .mixing import mix
 from .packing import pack
-from .pii import pseudonyms
+from .pii import pseudonyms, session_key
 from .simhash import near_duplicates
 from .suffix import repeated_passages
 from .tokenbin import token_shards
@@ -29,12 +29,13 @@ def op7_minhash(spark, sf_dir):
 def op9_toxicity(spark, sf_dir):
     return toxic_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
+
 def op1_tokens(spark, sf_dir):
     return token_shards(table(spark, sf_dir, "documents"))
 
 
 def op2_pii(spark, sf_dir):
-    return pseudonyms(table(spark, sf_dir, "documents"))
+    return pseudonyms(table(spark, sf_dir, "documents"), session_key(spark))
 
 
 def op4_media(spark, sf_dir):

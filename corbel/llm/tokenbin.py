@@ -15,7 +15,8 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import session, texts, worker_cache
+from . import textkernel as K
+from .common import texts, worker_cache
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -134,7 +135,7 @@ def token_shards(docs: DataFrame, vocabulary: str = VOCABULARY, shard_tokens: in
     same shards again.
     """
     ranks = read_ranks(vocabulary)
-    shared = session(docs).sparkContext.broadcast(ranks)  # the vocabulary: it doesn't grow with the data
+    shared = docs.sparkSession.sparkContext.broadcast(ranks)  # the vocabulary: it doesn't grow with the data
     kind = "<u2" if max(ranks.values()) < 1 << 16 else "<u4"
     schema = pa.schema([("shard_id", pa.int64()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("ids", pa.binary()), ("low_bits", pa.int32()), ("ef_low", pa.binary()), ("ef_high", pa.binary()), ("ef_select", pa.binary())])
 
@@ -149,7 +150,7 @@ def token_shards(docs: DataFrame, vocabulary: str = VOCABULARY, shard_tokens: in
             row = [[base | shards], [len(ids)], [n], [ids], [b"".join(held)], [bits], [low], [high], [select]]
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, schema.types)], schema=schema)
 
-        for batch in batches:
+        for batch in (part for whole in batches for part in K.slices(whole)):
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 a = np.array(encode(encoding, text), dtype=kind)
                 held.append(a.tobytes())
@@ -169,7 +170,7 @@ def token_shards(docs: DataFrame, vocabulary: str = VOCABULARY, shard_tokens: in
 def read_shards(shards: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """(doc_id, n_tokens, text) of every document in shards of token_shards()."""
     ranks = read_ranks(vocabulary)
-    shared = session(shards).sparkContext.broadcast(ranks)
+    shared = shards.sparkSession.sparkContext.broadcast(ranks)
     kind = "<u2" if max(ranks.values()) < 1 << 16 else "<u4"
 
     def run(batches):

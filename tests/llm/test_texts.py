@@ -89,15 +89,71 @@ def test_written_dates():
     assert kinds == ["date", "date"] and re.fullmatch(r"am \d+\. \w+ \d{4} und \w+ \d+, \d{4}", new)
 
 
+@pytest.mark.parametrize("size", [10**4, 2**14 + 3])
+def test_permutation_of_every_value(size):
+    """All values of a small format: a bijection that leaves no more values alone than chance."""
+    got = [pii.permute(x, size, KEY, "t") for x in range(size)]
+    assert sorted(got) == list(range(size)) and sum(a == b for a, b in enumerate(got)) < 10
+
+
+@pytest.mark.parametrize("value", ["новак@example.ru", "müller@example.de", "Ünal_7@example.org", "字漢@example.jp"])
+def test_names_beyond_ascii(value):
+    new, kinds = pii.pseudonymise(f"an {value} da", KEY)
+    name, old = new[3:-3].split("@")[0], value.split("@")[0]
+    assert kinds == ["mail"] and new.endswith(value.split("@")[1] + " da") and len(name) == len(old) and len(name.encode()) == len(old.encode())
+    assert all(a != b for a, b in zip(name, old) if a.isalpha()) or name != old
+    assert not any(ord(a) > 127 and a == b for a, b in zip(name, old)) or len(old) > 4
+
+
+def test_all_names_of_a_small_format():
+    names = ["é" + c for c in "abcdefghijklmnopqrstuvwxyz"] + ["è" + c for c in "abcdefghijklmnopqrstuvwxyz"]
+    new = [pii.mail(n + "@a.org", KEY) for n in names]
+    assert len(set(new)) == len(names) and pii.mail("__@a.org", KEY) is None
+
+
+def brute_pseudonyms(text):
+    """Every rule at every place of the text, one place after the other, without the filters by characters."""
+    found = []
+    for order, (kind, _, pattern, swap) in enumerate(pii.RULES):
+        at = 0
+        while m := pattern.search(text, at):
+            found.append((order, *(m.span(1) if kind == "secret" else m.span()), swap))
+            at = m.end()
+    out, taken = list(text), [False] * len(text)
+    done = 0
+    for _, a, b, swap in sorted(found, key=lambda x: x[:3]):
+        new = None if any(taken[a:b]) else swap(text[a:b], KEY)
+        if new is not None:
+            taken[a:b] = [True] * (b - a)
+            out[a:b] = [new] + [""] * (b - a - 1)
+            done += 1
+    return "".join(out), done
+
+
+def test_pseudonyms_equal_brute_force(spark):
+    import hashlib
+
+    docs = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
+    docs += [f"x {v} y {w}; {v}" for v in SAMPLES.values() for w in SAMPLES.values()]
+    global KEY
+    old, KEY = KEY, hashlib.blake2b(b"k").digest()
+    try:
+        want = [brute_pseudonyms(t) for t in docs]
+    finally:
+        KEY = old
+    got = pii.pseudonyms(table(spark, [row(i, t) for i, t in enumerate(docs)]), "k").orderBy("doc_id").collect()
+    assert [(r.text, r.n_replaced) for r in got] == want and sum(n for _, n in want) > 150
+
+
 def test_pii_awkward(spark):
     docs = table(spark, awkward() + [row(30, "call +1 (555) 234-5678 or a@b.de")])
-    got = pii.pseudonyms(docs).collect()
+    got = pii.pseudonyms(docs, "k").collect()
     assert len(got) == docs.count() and {r.doc_id: r.n_replaced for r in got}[30] == 2
     assert {r.doc_id: r.text for r in got}[2] is None
-    new = pii.pseudonymise_documents(docs)
+    new = pii.pseudonymise_documents(docs, "k")
     assert new.schema == docs.schema and new.exceptAll(docs).count() == 1
     assert new.filter("length(text) <> n_chars").count() == 0
-    assert pii.pseudonymise_documents(docs.limit(0)).count() == 0
+    assert pii.pseudonymise_documents(docs.limit(0), "k").count() == 0
 
 
 # Repeated passages
@@ -141,6 +197,19 @@ def test_passages_equal_brute_force(spark, least):
     assert got == brute_passages(docs, least) and got
 
 
+def test_class_is_searched_with_its_own_text(spark):
+    """Two texts with one doc_id: the words of a class come from the text that has it."""
+    a, b, c = prose(80, 1).split(), prose(80, 2).split(), prose(30, 3).split()
+    docs = [(1, " ".join(a)), (1, " ".join(b + a)), (2, " ".join(c + a[5:70] + c)), (3, " ".join(c[:9] + a[3:60] + b[:20]))]
+    got = rows(suffix.repeated_passages(table(spark, [row(*d) for d in docs]), 20))
+    for i, text in docs[2:]:
+        own = {r[1:3] for r in got if r[0] == i}
+        words, others = text.split(), [t.split() for j, t in docs if j != i]
+        windows = {tuple(o[s : s + 20]) for o in others for s in range(len(o) - 19)}
+        at = {s + k for s in range(len(words) - 19) if tuple(words[s : s + 20]) in windows for k in range(20)}
+        assert {x for s, n in own for x in range(s, s + n)} == at and at
+
+
 def test_intervals_of_transform():
     r = np.random.default_rng(3)
     text = np.concatenate([r.integers(1, 4, 300), [0]])
