@@ -9,7 +9,6 @@ with their exact bytes, also out of base64 data URIs.
 """
 
 import base64
-import binascii
 import re
 import struct
 import zlib
@@ -383,7 +382,9 @@ SIGNATURES = [
     *[(x, "text/html", html, 0) for x in (b"<!DOCTYPE", b"<!doctype", b"<!Doctype", b"<html", b"<HTML")],
     (b"<svg", "image/svg+xml", svg, 0),
 ]
-DATA_URI = re.compile(rb"data:([a-zA-Z0-9.+-]+/[a-zA-Z0-9.+-]+)?(?:;[a-zA-Z0-9=._-]+)*;base64,([A-Za-z0-9+/\s]+=*)")
+DATA_URI = re.compile(rb"""(["'(]?)data:(?:[a-zA-Z0-9.+-]+/[a-zA-Z0-9.+-]+)?(?:;[a-zA-Z0-9=._-]+)*;base64,""")
+_CLOSE = {b'"': b'"', b"'": b"'", b"(": b")"}
+_CODED, _SPACED = re.compile(rb"[A-Za-z0-9+/]+={0,2}"), re.compile(rb"[A-Za-z0-9+/\s]+(?:=\s*){0,2}")
 #: Bytes of carved media after which a batch is handed on.
 MOST_CARVED = 16 << 20
 TEXT = {"text/html", "image/svg+xml"}
@@ -400,13 +401,43 @@ def _automaton():
     return a
 
 
+def leading(content: bytes) -> tuple[str, int] | None:
+    """(type, length) by the signature that is valid at the very start."""
+    for magic, name, check, back in SIGNATURES:
+        if content[back : back + len(magic)] == magic and (got := check(content, back)) is not None:
+            size, name = got if isinstance(got, tuple) else (got, name)
+            return name, size
+    return None
+
+
+def data_uris(content: bytes):
+    """(start, end, bytes) of the base64 data URIs.
+
+    Between quotation marks or brackets the data may have white space and goes
+    up to the closing one; anywhere else, and where there is none or other
+    characters before it, they end at the first character that isn't base64's.
+    """
+    for m in DATA_URI.finditer(content):
+        begin, close = m.end(), content.find(_CLOSE[m[1]], m.end()) if m[1] else -1
+        if close >= 0 and _SPACED.fullmatch(content, begin, close):
+            end = close
+        elif coded := _CODED.match(content, begin):
+            end = coded.end()
+        else:
+            continue
+        data = re.sub(rb"[\s=]", b"", content[begin:end])
+        data = data[: len(data) - (len(data) % 4 == 1)]
+        yield m.start() + len(m[1]), end, base64.b64decode(data + b"=" * (-len(data) % 4))
+
+
 def sniff(content: bytes, automaton) -> tuple[str, list[tuple[int, int, str, bytes]]]:
     """(type of the content, embedded media as (offset, length there, type, bytes)).
 
     A valid signature at the start, after white space for text formats, gives
     the type; without one it is text/plain if the bytes are UTF-8 text without
     control characters, else application/octet-stream. Media inside other
-    valid media aren't carved, except those inside HTML, which is text.
+    valid media aren't carved, except those inside HTML, which is text. Of a
+    data URI the medium's own bytes are taken, by its validator's length.
     """
     kind, until, found, uri = "", 0, [], False
     lead = len(content) - len(content.lstrip(b" \t\r\n"))
@@ -431,14 +462,9 @@ def sniff(content: bytes, automaton) -> tuple[str, list[tuple[int, int, str, byt
             found.append((at, size, name, content[at : at + size]))
             until = at + size
     if uri:
-        for m in DATA_URI.finditer(content):
-            try:
-                inner = base64.b64decode(re.sub(rb"\s", b"", m[2]), validate=True)
-            except binascii.Error:
-                continue
-            own, _ = sniff(inner, automaton)
-            if own not in ("text/plain", "application/octet-stream"):
-                found.append((m.start(), m.end() - m.start(), own, inner))
+        for at, end, inner in data_uris(content):
+            if own := leading(inner):
+                found.append((at, end - at, own[0], inner[: own[1]]))
     if not kind:
         try:
             kind = "application/octet-stream" if re.search(r"[\0-\x08\x0b\x0e-\x1f]", content.decode()) or not content else "text/plain"
@@ -454,8 +480,9 @@ def media(values: DataFrame, id_col: str, content: str, declared: str) -> DataFr
     content may be binary or a string. A null content gives a row with null
     type and length; an empty one is application/octet-stream. A declared type
     is compared without case and parameters; where it is null, nothing is
-    corrected. Rows without id and repeated rows are treated like others. An
-    empty table gives no rows; other columns aren't read. No shuffle is made.
+    corrected. Rows without id and repeated rows are treated like others. Values
+    of any length are searched whole. An empty table gives no rows; other
+    columns aren't read. No shuffle is made.
     """
     schema = pa.schema([("id", pa.int64()), ("offset", pa.int64()), ("length", pa.int64()), ("declared", pa.string()), ("type", pa.string()), ("corrected", pa.bool_()), ("bytes", pa.binary())])
 
@@ -491,7 +518,13 @@ _EXTENSIONS = {"png": "image/png", "jpg": "image/jpeg", "jpeg": "image/jpeg", "g
 
 
 def page_media(pages: DataFrame) -> DataFrame:
-    """media() of crawled pages: the declared type is that of the address's extension, or text/html without a known one."""
+    """media() of crawled pages: the declared type is that of the address's extension, or text/html without a known one.
+
+    A null url declares nothing; a null html gives a row with null type and
+    length, an empty one is application/octet-stream. Rows without page_id and
+    repeated rows are treated like others, pages of any length are searched
+    whole, an empty table gives no rows, and other columns aren't read.
+    """
     extension = F.lower(F.regexp_extract("url", r"^[a-z]+://[^/?#]+/[^?#]*\.([A-Za-z0-9]+)(?:[?#]|$)", 1))
     kinds = F.create_map(*[F.lit(x) for kv in _EXTENSIONS.items() for x in kv])
     declared = F.when(F.col("url").isNotNull(), F.coalesce(kinds[extension], F.lit("text/html")))

@@ -1,5 +1,8 @@
+import base64
+import bz2
 import gzip
 import io
+import lzma
 import random
 import struct
 import wave
@@ -36,7 +39,23 @@ def samples():
     bmp = b"BM" + struct.pack("<IIIIiiHHIIiiII", 58, 0, 54, 40, 1, 1, 1, 24, 0, 4, 0, 0, 0, 0) + bytes(4)
     jpeg = b"\xff\xd8\xff\xe0\0\x04ab\xff\xc0\0\x05abc\xff\xda\0\x04ab\x12\xff\x00\x34\xff\xd9"
     pdf = b"%PDF-1.4\n1 0 obj\nendobj\nxref\ntrailer\nstartxref\n9\n%%EOF\n"
-    return {"image/png": png(), "audio/wav": w.getvalue(), "application/zip": z.getvalue(), "application/gzip": gzip.compress(b"x" * 99), "image/gif": gif, "image/bmp": bmp, "image/jpeg": jpeg, "application/pdf": pdf}
+    chunk = lambda k, d: k + struct.pack("<I", len(d)) + d + bytes(len(d) % 2)
+    container = lambda kind, *parts: b"RIFF" + struct.pack("<I", 4 + sum(map(len, parts))) + kind + b"".join(parts)
+    tiff = b"II*\0" + struct.pack("<IH", 8, 2) + struct.pack("<HHII", 273, 4, 1, 38) + struct.pack("<HHII", 279, 4, 1, 6) + struct.pack("<I", 0) + b"pixels"
+    icon = struct.pack("<HHH", 0, 1, 1) + struct.pack("<BBBBHHII", 3, 3, 0, 0, 1, 32, len(png()), 22) + png()
+    flac = b"fLaC" + b"\x80" + (34).to_bytes(3, "big") + bytes(34) + b"\xff\xf8" + bytes(20)
+    page = lambda flags, body: b"OggS\0" + bytes([flags]) + bytes(8) + struct.pack("<III", 7, 0, 0) + bytes([1, len(body)]) + body
+    frame = b"\xff\xfb\x90\x00" + bytes(413)
+    mp3 = b"ID3\x03\0\0\0\0\0\x05" + bytes(5) + frame * 2
+    box = lambda k, d: struct.pack(">I", 8 + len(d)) + k + d
+    mp4 = box(b"ftyp", b"isom\0\0\0\0isom") + box(b"moov", bytes(12)) + box(b"mdat", bytes(9))
+    head = b"\x42\x82\x84webm"
+    webm = b"\x1aE\xdf\xa3" + bytes([0x80 | len(head)]) + head + b"\x18\x53\x80\x67" + bytes([0x80 | 5]) + b"hello"
+    more = {
+        "image/webp": container(b"WEBP", chunk(b"VP8 ", b"1234567")), "video/x-msvideo": container(b"AVI ", chunk(b"LIST", b"12345678")), "image/tiff": tiff, "image/x-icon": icon, "application/x-bzip2": bz2.compress(b"x" * 99),
+        "application/x-xz": lzma.compress(b"x" * 99), "audio/flac": flac, "audio/ogg": page(2, b"\x01vorbis") + page(4, b"end"), "audio/mpeg": mp3, "video/mp4": mp4, "video/webm": webm, "image/svg+xml": b"<svg xmlns='x'><path d='M0'/></svg>",
+    }
+    return more | {"image/png": png(), "audio/wav": w.getvalue(), "application/zip": z.getvalue(), "application/gzip": gzip.compress(b"x" * 99), "image/gif": gif, "image/bmp": bmp, "image/jpeg": jpeg, "application/pdf": pdf}
 
 
 @pytest.mark.parametrize("kind", samples())
@@ -44,14 +63,72 @@ def test_whole_and_carved(kind):
     a, data = media._automaton(), samples()[kind]
     assert media.sniff(data, a) == (kind, [])
     lead = b"\x01junk" * 3
-    if kind not in ("application/pdf",):
+    if kind == "audio/flac":  # its frames have no total length
+        assert media.sniff(lead + data, a)[1] == [(len(lead), len(data), kind, data)]
+    elif kind not in ("application/pdf",):
         assert media.sniff(lead + data + b"tail", a)[1] == [(len(lead), len(data), kind, data)]
     assert media.sniff(data[: len(data) // 2], a)[0] != kind
 
 
-def test_media_rows(spark):
-    import base64
+def every_signature(content):
+    """(start, length, type) of the valid signatures at all places of the content, one place after the other."""
+    out = []
+    for at in range(len(content)):
+        for magic, name, check, back in media.SIGNATURES:
+            if at >= back and content[at : at + len(magic)] == magic and (got := check(content, at)) is not None:
+                size, kind = got if isinstance(got, tuple) else (got, name)
+                out.append((at - back, size, kind))
+    return out
+
 
+def test_carving_equals_a_scan_of_every_place():
+    r, a = random.Random(6), media._automaton()
+    kinds = sorted(set(samples()) - {"application/pdf", "audio/flac", "application/zip"})
+    for _ in range(60):
+        chosen, content, want = r.sample(kinds, 3), b"\x01", []
+        for kind in chosen:
+            content += bytes(r.choices(range(97, 123), k=r.randrange(40)))
+            want.append((len(content), len(samples()[kind]), kind, samples()[kind]))
+            content += samples()[kind]
+        content += b" tail"
+        whole = every_signature(content)
+        outer = [x for x in whole if not any(y[0] <= x[0] and x[0] + x[1] <= y[0] + y[1] and x != y for y in whole)]
+        got = media.sniff(content, a)[1]
+        assert got == want and [x[:3] for x in got] == sorted(outer)
+
+
+@pytest.mark.parametrize("kind", sorted(samples()))
+def test_truncated_media_are_not_taken_whole(kind):
+    if kind in ("audio/mpeg", "audio/flac", "application/pdf"):  # fewer frames are a whole file too
+        return
+    data = samples()[kind]
+    for n in range(len(data) // 3, len(data) - 1):
+        got = media.leading(data[:n])
+        assert got is None or got[0] != kind or got[1] <= n
+
+
+@pytest.mark.parametrize("rest", ["", " alt=cat", "\nabcd", " abc defgh", " width=", "\nplain words", ">", "'"])
+@pytest.mark.parametrize("form", ["plain", "quoted", "unpadded", "folded"])
+def test_data_uris_are_carved_exactly(rest, form):
+    coded = base64.b64encode(png()).decode()
+    coded = coded.rstrip("=") if form == "unpadded" else "\n ".join(coded[i : i + 20] for i in range(0, len(coded), 20)) if form == "folded" else coded
+    mark = '"' if form in ("quoted", "folded") else ""
+    content = f"<html><img src={mark}data:image/png;base64,{coded}{mark}{rest}".encode()
+    got = media.sniff(content, media._automaton())[1]
+    assert [(x[2], x[3]) for x in got] == [("image/png", png())]
+    assert content[got[0][0] : got[0][0] + got[0][1]].decode() == f"data:image/png;base64,{coded}"
+
+
+def test_media_awkward(spark):
+    long = "<html>" + "x" * 3_000_000 + f'<img src="data:image/png;base64,{base64.b64encode(png()).decode()}"></html>'
+    pages = spark.createDataFrame([(1, None, "<html></html>", "a", "b", "c"), (2, "http://a.b/c.png", None, None, None, None), (3, "http://a.b/c.png?x", long, "a", "b", "c"), (None, None, "", "a", "b", "c")], "page_id long, url string, html string, declared string, bytes string, __declared string")
+    got = rows(media.page_media(pages))
+    assert (1, 0, 13, None, "text/html", False, None) in got and (2, 0, None, "image/png", None, False, None) in got
+    assert (3, 0, len(long), "image/png", "text/html", True, None) in got and (None, 0, 0, None, "application/octet-stream", False, None) in got
+    assert [bytes(r[6]) for r in got if r[6] is not None] == [png()] and media.page_media(pages.limit(0)).count() == 0
+
+
+def test_media_rows(spark):
     uri = f'<html><img src="data:image/gif;base64,{base64.b64encode(png()).decode()}"></html>'
     values = [(1, bytearray(png()), "image/jpeg; q=1"), (2, None, "text/html"), (3, bytearray(b""), None), (4, bytearray(uri.encode()), "text/html"), (None, bytearray(b"plain"), "TEXT/PLAIN"), (1, bytearray(png()), "image/jpeg; q=1")]
     got = rows(media.media(spark.createDataFrame(values, "key long, body binary, said string"), "key", "body", "said"))
