@@ -113,9 +113,13 @@ def read_pdf(content: bytes, path: str) -> str | None:
     """The text by pypdf, where that is installed; None without it or without text."""
     try:
         from pypdf import PdfReader
+        from pypdf.errors import PyPdfError
     except ImportError:
         return None
-    return "\n".join(p.extract_text() or "" for p in PdfReader(io.BytesIO(content)).pages).strip() or None
+    try:
+        return "\n".join(p.extract_text() or "" for p in PdfReader(io.BytesIO(content)).pages).strip() or None
+    except (PyPdfError, ValueError, KeyError, TypeError, IndexError, AttributeError, RecursionError):  # what broken files raise
+        return None
 
 
 def _reader(read):

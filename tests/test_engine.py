@@ -22,7 +22,7 @@ from corbel.streaming.watch import event_windows, sync_folder
 def folder(tmp_path):
     files = {
         "a.md": "---\ntitle: 'My Doc'\nformat: own\nempty:\n---\n\n# Hello\n\nContent here.", "b.csv": "name, age\nAlice,30\nBob,25,extra\n", "c.json": '{"key": "é", "b": [1]}', "d.jsonl": '{"b":1,"a":2}\n\nnot json\n',
-        "e.html": "<html><body><h1>Title</h1><p>Paragraph</p><script>var x=1;</script></body></html>", "f.txt": "plain\n", "sub/g.TXT": "deep", "h.csv": "only\n", "i.own": "x",
+        "e.html": "<html><head><style>p {}</style></head><body><h2>Head</h2>\n<p>Some <b>words</b></p><script>f(1)</script></body></html>", "f.txt": "plain\n", "sub/g.TXT": "deep", "h.csv": "only\n", "i.own": "x",
     }
     for name, text in files.items():
         p = tmp_path / "in" / name
@@ -30,7 +30,7 @@ def folder(tmp_path):
         p.write_text(text)
     (tmp_path / "in/bad.txt").write_bytes(b"\xff\xfe\xfa")
     with zipfile.ZipFile(tmp_path / "in/j.docx", "w") as z:
-        z.writestr("word/document.xml", f'<w:document xmlns:w="{loaders._W[1:-1]}"><w:body><w:p><w:r><w:t xml:space="preserve">Grüße </w:t></w:r><w:r><w:t>dort</w:t></w:r></w:p></w:body></w:document>')
+        z.writestr("word/document.xml", f'<w:document xmlns:w="{loaders._W[1:-1]}"><w:body><w:p><w:r><w:t>Grüße</w:t></w:r><w:r><w:tab/><w:t> dort</w:t></w:r></w:p></w:body></w:document>')
     return tmp_path / "in"
 
 
@@ -42,7 +42,7 @@ def test_loaders(spark, folder):
     assert text["a.md"].startswith("# Hello") and got["a.md"].metadata["title"] == "My Doc" and got["a.md"].metadata["format"] == "own" and "empty" not in got["a.md"].metadata
     assert text["b.csv"] == "name: Alice, age: 30\nname: Bob, age: 25" and got["b.csv"].metadata["rows"] == "2" and text["h.csv"] == "only\n"
     assert text["c.json"] == '{\n  "b": [\n    1\n  ],\n  "key": "é"\n}' and text["d.jsonl"] == '{\n  "a": 2,\n  "b": 1\n}\n---\nnot json' and got["d.jsonl"].metadata["records"] == "2"
-    assert text["e.html"] == "Title Paragraph" and text["g.TXT"] == "deep" and text["i.own"] == "XX" and text["j.docx"] == "Grüße dort"
+    assert text["e.html"] == "Head Some words" and text["g.TXT"] == "deep" and text["i.own"] == "XX" and text["j.docx"] == "Grüße dort"
     assert [r.path.rsplit("/")[-1] for r in loaders.failures(files).collect()] == ["bad.txt"]
     assert loaders.scan(spark, str(folder), ["txt", ".MD"]).count() == 4
 

@@ -57,7 +57,7 @@ def test_cosine_cases(spark):
 
 
 def test_codecs():
-    v = np.array([0.1, 0.5, -0.3, 0.8, -0.9, 0.0], dtype=np.float32)
+    v = np.array([0.21, -0.64, 0.97, -0.05, 0.33], dtype=np.float32)
     assert np.array_equal(V.decode(V.encode(v, "f32"), "f32"), v)
     assert np.abs(V.decode(V.encode(v, "f16"), "f16") - v).max() < 1e-3
     assert np.abs(V.decode(V.encode(v, "uint8"), "uint8") - v).max() < 1e-2
