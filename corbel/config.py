@@ -22,7 +22,16 @@ class Config:
     chunk_size: int = 512
     chunk_overlap: int = 50
     embed_batch_size: int = 64
-    store_batch_size: int = 100
+    embed_cache: str = ""
+    tokenizer: str = ""
+    generate_url: str = ""
+    generate_model: str = ""
+    host: str = "127.0.0.1"
+    port: int = 8080
+    cors_origins: str = ""
+    rate_limit: int = 0
+    request_timeout: int = 30
+    public_stats: bool = False
     max_query_length: int = 10_000
     top_k: int = 10
     alpha: float = 0.5
@@ -60,7 +69,7 @@ def load(path: str | None = None, env: dict | None = None) -> Config:
         raise ConfigError(f"unknown settings: {', '.join(unknown)}")
     said |= {name: env[PREFIX + name.upper()] for name in kinds if PREFIX + name.upper() in env}
     try:
-        return Config(**{name: kinds[name](value) for name, value in said.items()}).check()
+        return Config(**{name: str(value).lower() in ("1", "true", "yes") if kinds[name] is bool else kinds[name](value) for name, value in said.items()}).check()
     except ValueError as e:
         raise ConfigError(str(e)) from e
 

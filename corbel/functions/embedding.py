@@ -5,10 +5,11 @@ from typing import Protocol
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schema import EmbedError
+from .http import post
 from .vectors import embed_dummy
 
 
@@ -36,12 +37,7 @@ class HttpEmbedder:
         self.url, self.model, self.dimension, self.key, self.batch, self.timeout = url, model, dimension, key, batch, timeout
 
     def _ask(self, texts: list[str]) -> list:
-        from urllib.request import Request, urlopen
-
-        head = {"Content-Type": "application/json"} | ({"Authorization": f"Bearer {self.key}"} if self.key else {})
-        body = json.dumps({"model": self.model, "input": texts}).encode()
-        with urlopen(Request(self.url, body, head), timeout=self.timeout) as r:
-            said = json.load(r)
+        said = json.loads(post(self.url, {"model": self.model, "input": texts}, self.key, self.timeout))
         got = said.get("embeddings") or [x["embedding"] for x in said.get("data", [])]
         if len(got) != len(texts):
             raise EmbedError(f"{len(texts)} texts, {len(got)} embeddings")
@@ -114,3 +110,24 @@ def embed_cached(rows: DataFrame, cache: DataFrame, embedder: Embedder, text: st
     missing = asked.select("text_hash", F.col(text).alias("text")).filter("text is not null").dropDuplicates(["text_hash"]).join(own, "text_hash", "left_anti")
     new = embed_column(missing, embedder).select(F.lit(embedder.model).alias("model"), "text_hash", "embedding")
     return asked.join(own.unionByName(new.drop("model")), "text_hash", "left").drop("text_hash"), new
+
+
+class EmbeddingCache:
+    """A table (model, text_hash, embedding) at a path: each text is embedded once for each model."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+
+    def table(self) -> DataFrame:
+        """The cache's rows; a vector that two runs have made at once is there once."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        if not path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path):
+            return self.spark.createDataFrame([], "model string, text_hash string, embedding array<float>")
+        return self.spark.read.parquet(self.path).groupBy("model", "text_hash").agg(F.min("embedding").alias("embedding"))
+
+    def embed(self, rows: DataFrame, embedder: Embedder, text: str = "text") -> DataFrame:
+        """rows with embedding; what the cache lacks is embedded and written to it before the rows are made."""
+        _, new = embed_cached(rows, self.table(), embedder, text)
+        new.write.mode("append").parquet(self.path)
+        held = self.table().filter(F.col("model") == embedder.model).select("text_hash", "embedding")
+        return rows.withColumn("text_hash", F.sha2(text, 256)).join(held, "text_hash", "left").drop("text_hash")

@@ -49,16 +49,17 @@ def proper_nouns(text: str) -> list[tuple[str, str]]:
     return list(out)
 
 
-def dictionary_terms(text: Column, terms: dict[str, list[str]] | None = None) -> Column:
-    """array<struct(name, type)> of the terms that text contains, without case."""
+def dictionary_terms(low: Column, terms: dict[str, list[str]] | None = None) -> Column:
+    """array<struct(name, type)> of the terms that the lower-case text `low` contains."""
     own = TERMS if terms is None else terms
-    all_terms = F.array(*[F.struct(F.lit(t).alias("name"), F.lit(kind).alias("type")) for kind in sorted(own) for t in own[kind]]).cast("array<struct<name:string,type:string>>")
-    return F.filter(all_terms, lambda t: F.contains(F.lower(text), t["name"]))
+    found = [F.when(F.contains(low, F.lit(t)), F.struct(F.lit(t).alias("name"), F.lit(kind).alias("type"))) for kind in sorted(own) for t in own[kind]]
+    return F.array_compact(F.array(*found)).cast("array<struct<name:string,type:string>>")
 
 
 def entities(chunks: DataFrame, terms: dict[str, list[str]] | None = None, nouns: bool = True, id_col: str = "chunk_id") -> DataFrame:
     """(chunk_id, entities array<struct(name, type)>): one entry for each name, by PRECEDENCE of its types; sorted by name. No shuffle."""
-    found = dictionary_terms(F.coalesce(F.col("text"), F.lit("")), terms)
+    chunks = chunks.select(F.col(id_col).alias("chunk_id"), "text", F.lower(F.coalesce(F.col("text"), F.lit(""))).alias("low"))
+    found = dictionary_terms(F.col("low"), terms)
     if nouns:
 
         @F.pandas_udf("array<struct<name:string,type:string>>")
@@ -69,7 +70,7 @@ def entities(chunks: DataFrame, terms: dict[str, list[str]] | None = None, nouns
     order = F.create_map(*[x for i, k in enumerate(PRECEDENCE) for x in (F.lit(k), F.lit(i))])
     ranked = F.array_sort(F.transform("found", lambda e: F.struct(e["name"].alias("name"), F.coalesce(order[e["type"]], F.lit(9)).alias("p"), e["type"].alias("type"))))
     first = F.filter("ranked", lambda e, i: (i == 0) | (F.get("ranked", i - 1)["name"] != e["name"]))
-    rows = chunks.select(F.col(id_col).alias("chunk_id"), found.alias("found")).select("chunk_id", ranked.alias("ranked"))
+    rows = chunks.select("chunk_id", found.alias("found")).select("chunk_id", ranked.alias("ranked"))
     return rows.select("chunk_id", F.transform(first, lambda e: F.struct(e["name"].alias("name"), e["type"].alias("type"))).alias("entities"))
 
 
@@ -124,8 +125,18 @@ def retrieve(edges: DataFrame, found: DataFrame, asked: DataFrame, k: int = 10,
     return top(hits, k)
 
 
+def asked_names(queries: DataFrame, terms: dict[str, list[str]] | None = None, nouns: bool = True) -> DataFrame:
+    """(query_id, name): the entities of questions (query_id, text)."""
+    return entities(queries, terms, nouns, "query_id").select(F.col("chunk_id").alias("query_id"), F.explode("entities").alias("e")).select("query_id", "e.name")
+
+
+def search(edges: DataFrame, found: DataFrame, queries: DataFrame, k: int = 10, max_hops: int = 2, terms: dict[str, list[str]] | None = None) -> DataFrame:
+    """retrieve() by the entities of questions (query_id, text)."""
+    return retrieve(edges, found, asked_names(queries, terms), k, max_hops)
+
+
 def save(held: DataFrame, path: str) -> None:
-    """The graph as Parquet: nodes, edges and mentions."""
+    """The graph of entities() as Parquet: nodes, edges and mentions."""
     for name, rows in (("nodes", nodes(held)), ("edges", cooccurrence(held)), ("mentions", mentions(held))):
         rows.write.mode("overwrite").parquet(f"{path}/{name}")
 

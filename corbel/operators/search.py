@@ -1,13 +1,17 @@
 """Vector search, fusion and the composite retrieval operators."""
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import STOP_WORDS, split_words, words
 from ..functions.vectors import cosine
+from ..shared import checkpoint
 from . import bm25
+from .blocks import best
 
 RRF = 60
 BLOCK = 1024
@@ -38,73 +42,63 @@ def vector_search(chunks: DataFrame, query: list[float], k: int = 10, filters: d
 
 
 def _blocks(vectors: DataFrame, size: int) -> DataFrame:
-    """Vectors packed to rows (ids, matrix) of up to `size` unit vectors; zero vectors stay zero."""
+    """Vectors (id, embedding) packed to rows (ids, matrix, dim) of up to `size` vectors of one dimension."""
+    id_type = vectors.dtypes[0][1]
 
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, size):
                 part = batch.slice(at, size)
-                v = np.stack(part.column(1).to_numpy(zero_copy_only=False)).astype(np.float64)
-                n = np.linalg.norm(v, axis=1, keepdims=True)
-                v = np.divide(v, n, out=np.zeros_like(v), where=n > 0)
-                yield pa.RecordBatch.from_arrays([pa.array([part.column(0).to_pylist()], pa.list_(pa.int64())), pa.array([v.tobytes()], pa.binary()), pa.array([v.shape[1]], pa.int32())], ["ids", "matrix", "dim"])
+                dims = pc.list_value_length(part.column(1)).to_numpy(zero_copy_only=False)
+                for d in np.unique(dims):
+                    own = part.filter(pa.array(dims == d))
+                    v = own.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float32) if d else np.zeros(own.num_rows, dtype=np.float32)
+                    yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, own.num_rows], pa.int32()), own.column(0)), pa.array([v.tobytes()], pa.binary()), pa.array([max(d, 1)], pa.int32())], ["ids", "matrix", "dim"])
 
-    return vectors.mapInArrow(run, "ids array<long>, matrix binary, dim int")
+    return vectors.mapInArrow(run, f"ids array<{id_type}>, matrix binary, dim int")
+
+
+def unit(v: np.ndarray) -> np.ndarray:
+    """Rows scaled to length 1; zero rows stay."""
+    n = np.linalg.norm(v, axis=1, keepdims=True)
+    return np.divide(v, n, out=np.zeros_like(v), where=n > 0)
+
+
+def _nearest(q_ids: pa.Array, x: np.ndarray, b_ids: pa.Array, y: np.ndarray, k: int, others: bool) -> pa.RecordBatch:
+    """Each row of x with its k nearest rows of y; of unequal dimensions the lesser one counts, as in cosine()."""
+    d = min(x.shape[1], y.shape[1])
+    order = pc.sort_indices(b_ids)
+    b_ids, y = b_ids.take(order), y[order.to_numpy()]
+    s = np.round(unit(x[:, :d].astype(np.float64)) @ unit(y[:, :d].astype(np.float64)).T, 12)
+    if others:
+        at = pc.index_in(q_ids, b_ids)
+        own = np.flatnonzero(at.is_valid().to_numpy(zero_copy_only=False))
+        s[own, at.drop_null().to_numpy()] = -np.inf
+    a, c = best(s, k)
+    return pa.RecordBatch.from_arrays([q_ids.take(pa.array(a)), b_ids.take(pa.array(c)), pa.array(s[a, c])], ["query_id", "chunk_id", "score"])
 
 
 def knn_join(queries: DataFrame, base: DataFrame, k: int = 5, others: bool = False, block: int = BLOCK) -> DataFrame:
     """(query_id, chunk_id, score, rank): each query's k nearest of base, exactly.
 
     queries (query_id, embedding) and base (chunk_id, embedding) are packed to
-    matrix blocks; every pair of blocks is one matrix product with a top k of
-    its own, so memory is bounded by two blocks and neither side is collected
-    or broadcast whole. With others=True a query isn't its own neighbour.
+    matrix blocks, and every pair of blocks is one matrix product with a top k
+    of its own. Work grows with the product of both sides, so this is for a
+    stated set of questions; ann.search() is for more. Ids may be of any type
+    that sorts; of unequal dimensions the lesser one counts; a null embedding
+    gives no row. With others=True a query isn't its own neighbour.
     """
+    q_type, id_type = queries.select("query_id").dtypes[0][1], base.select("chunk_id").dtypes[0][1]
     q = _blocks(queries.filter("embedding is not null").select("query_id", "embedding"), block)
     b = _blocks(base.filter("embedding is not null").select("chunk_id", "embedding"), block).toDF("ids2", "matrix2", "dim2")
 
     def run(batches):
         for batch in batches:
-            for r in batch.to_pylist():
-                x = np.frombuffer(r["matrix"]).reshape(-1, r["dim"])
-                y = np.frombuffer(r["matrix2"]).reshape(-1, r["dim2"])
-                d = min(r["dim"], r["dim2"])
-                s = np.round(x[:, :d] @ y[:, :d].T, 12)
-                qi, bi = np.array(r["ids"]), np.array(r["ids2"])
-                if others:
-                    s[qi[:, None] == bi[None, :]] = -np.inf
-                order = np.argsort(bi, kind="stable")
-                s, bi = s[:, order], bi[order]
-                if k < s.shape[1]:
-                    # Keep all that tie with the k-th, to 9 places, so that ids decide as they do over the whole.
-                    kth = np.round(-np.partition(-s, k - 1, axis=1)[:, k - 1], 9)
-                    a, c = np.nonzero(np.round(s, 9) >= kth[:, None])
-                else:
-                    a, c = np.nonzero(np.isfinite(s))
-                good = np.isfinite(s[a, c])
-                a, c = a[good], c[good]
-                first = np.lexsort((bi[c], -np.round(s[a, c], 9), a))
-                a, c = a[first], c[first]
-                place = np.arange(len(a)) - np.searchsorted(a, a)
-                a, c = a[place < k], c[place < k]
-                yield pa.RecordBatch.from_arrays([pa.array(qi[a]), pa.array(bi[c]), pa.array(s[a, c])], ["query_id", "chunk_id", "score"])
-
-    return bm25.top(q.crossJoin(b).mapInArrow(run, "query_id long, chunk_id long, score double"), k)
-
-
-def lsh_search(chunks: DataFrame, query: list[float], k: int = 10, length: float = 0.5, tables: int = 8) -> DataFrame:
-    """An approximate vector_search: candidates from random projections of the unit vectors, then the exact score."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
-    from pyspark.ml.linalg import Vectors
-
-    unit = np.asarray(query, dtype=np.float64)
-    unit = unit / (np.linalg.norm(unit) or 1)
-    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x))
-    rows = chunks.filter("embedding is not null").withColumn("features", array_to_vector(F.transform("embedding", lambda x: x / norm)))
-    model = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=length, numHashTables=tables, seed=42).fit(rows)
-    near = model.approxNearestNeighbors(rows, Vectors.dense(unit.tolist()), k)
-    return vector_scores(near.drop("features", "hashes", "distCol"), query).orderBy(F.desc(F.round("score", 9)), "chunk_id")
+            for i in range(batch.num_rows):
+                x, y = (np.frombuffer(batch.column(j)[i].as_buffer(), dtype=np.float32).reshape(-1, batch.column(j + 1)[i].as_py()) for j in (1, 4))
+                yield _nearest(batch.column(0)[i].values, x, batch.column(3)[i].values, y, k, others)
+
+    return bm25.top(q.crossJoin(b).mapInArrow(run, f"query_id {q_type}, chunk_id {id_type}, score double"), k)
 
 
 def rrf(vector: DataFrame, keyword: DataFrame, k: int = 10, alpha: float = 0.5) -> DataFrame:
@@ -116,12 +110,14 @@ def rrf(vector: DataFrame, keyword: DataFrame, k: int = 10, alpha: float = 0.5)
     return bm25.top(both, k)
 
 
-def hybrid(chunks: DataFrame, queries: DataFrame, k: int = 10, alpha: float = 0.5, filters: dict | None = None) -> DataFrame:
-    """Both searches' 3k best, fused. chunks: chunk_id, text, embedding; queries: query_id, text, embedding. Filters hold for both sides."""
+def hybrid(chunks: DataFrame, queries: DataFrame, k: int = 10, alpha: float = 0.5, filters: dict | None = None, index: DataFrame | None = None) -> DataFrame:
+    """Both searches' 3k best, fused. chunks: chunk_id, text, embedding; queries: query_id, text, embedding; index: postings
+    of the chunks, if there are any. Filters hold for both sides."""
     if filters:
         chunks = metadata_filter(chunks, filters)
+        index = index.join(chunks.select("chunk_id"), "chunk_id", "left_semi") if index is not None else None
     v = knn_join(queries.select("query_id", "embedding"), chunks.select("chunk_id", "embedding"), 3 * k)
-    return rrf(v, bm25.search(chunks, queries.select("query_id", "text"), 3 * k, "chunk_id"), k, alpha)
+    return rrf(v, bm25.search(chunks, queries.select("query_id", "text"), 3 * k, "chunk_id", index), k, alpha)
 
 
 def graph_fusion(graph: DataFrame, vector: DataFrame, k: int = 10, weight: float = 0.5, keep_graph_only: bool = False) -> DataFrame:
@@ -153,7 +149,6 @@ def rerank_keyword(hits: DataFrame, k: int = 10) -> DataFrame:
 
 def rerank_model(hits: DataFrame, predict, k: int = 10) -> DataFrame:
     """rerank() by a cross-encoder: predict maps (queries, texts) to logits, one or two columns."""
-    import pandas as pd
 
     @F.pandas_udf("double")
     def run(query: pd.Series, text: pd.Series) -> pd.Series:
@@ -188,6 +183,16 @@ def expand_query(text: str) -> list[str]:
     return [x for i, x in enumerate(out) if not i or x != out[i - 1]]
 
 
+def variants(queries: DataFrame) -> DataFrame:
+    """(query_id, variant, text): the expansions of questions (query_id, text), numbered from 0; see expand_query()."""
+
+    @F.pandas_udf("array<string>")
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(lambda t: expand_query(t or ""))
+
+    return queries.select("query_id", F.posexplode(run("text")).alias("variant", "text"))
+
+
 def merge_variants(hits: DataFrame, variants: DataFrame, k: int = 10) -> DataFrame:
     """One ranking of the variants' rankings. hits: query_id, variant from 0, chunk_id, score, rank from 1; variants: (query_id, n_variants).
 
@@ -216,12 +221,19 @@ def parents(hits: DataFrame, chunks: DataFrame, k: int = 5) -> DataFrame:
     return seen.join(whole, "source_id").select("query_id", "source_id", "rank", "score", "text", "child_chunks", mode.alias("metadata"))
 
 
-def route(collections: dict[str, DataFrame], k: int = 10) -> tuple[DataFrame, list[str]]:
-    """(one ranking of the collections' rankings with their names, names that failed). Each ranking has query_id, chunk_id, score."""
+def route(collections: dict, k: int = 10) -> tuple[DataFrame, list[str]]:
+    """(one ranking of the collections' rankings with their names, names that failed).
+
+    Each value is a ranking (query_id, chunk_id, score), or a function that
+    makes it. A collection's k best of each query are brought to the shared
+    checkpoint folder first, so that one which fails while it runs is left out
+    like one that can't be read.
+    """
     parts, failed = [], []
     for name, hits in collections.items():
         try:
-            parts.append(hits.select("query_id", "chunk_id", "score").withColumn("collection", F.lit(name)))
+            rows = (hits() if callable(hits) else hits).select("query_id", "chunk_id", "score")
+            parts.append(checkpoint(bm25.top(rows, k).drop("rank")).withColumn("collection", F.lit(name)))
         except Exception as e:  # a collection that can't be read doesn't stop the others
             failed.append(f"{name}: {type(e).__name__}")
     if not parts:
@@ -229,8 +241,7 @@ def route(collections: dict[str, DataFrame], k: int = 10) -> tuple[DataFrame, li
     rows = parts[0]
     for p in parts[1:]:
         rows = rows.unionByName(p)
-    own = bm25.top(rows, k, "query_id", "collection").drop("rank")
-    return bm25.top(own, k), failed
+    return bm25.top(rows, k), failed
 
 
 def prompt(hits: DataFrame, template: str | None = None) -> DataFrame:

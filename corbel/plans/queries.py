@@ -1,25 +1,23 @@
 """Queries over the test tables, with the same in DuckDB's SQL. Scores are rounded to 6 places in the results."""
 
-import os
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..config import Config
 from ..functions import text as T
 from ..functions import vectors as V
 from ..functions.embedding import DummyEmbedder, embed_cached
-from ..operators import bm25, evaluation, graph, search, split
+from ..operators import ann, bm25, evaluation, graph, search, split
 from ..schema import CHUNK
+from ..shared import place
 from ..sources import loaders, store
 from ..streaming.watch import event_windows
+from . import index
 
 K = 10
 DIM = 64
 LANGS = ("de", "en", "es", "fr")
-GRAPH_TERMS = {"TERM": ["eation", "einber", "eroning", "erreen", "ieroi", "ouque", "pathetic", "thater", "thesea", "tionsh", "unglich", "élement"]}
-ASKED = ("what is the eroning", "ouque ieroi explained", "einber der unglich")
+GRAPH_TERMS = graph.TERMS | {"TERM": ["eation", "einber", "eroning", "erreen", "ieroi", "ouque", "pathetic", "thater", "thesea", "tionsh", "unglich", "élement"]}
 FROM, TO = "eroning", 3
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -43,14 +41,6 @@ def rounded(df: DataFrame, *cols: str) -> DataFrame:
     return df.withColumns({c: F.round(c, 6) for c in cols})
 
 
-def place(spark: SparkSession, name: str) -> str:
-    """A folder for tables that a query writes: below spark.checkpoint.dir, which all executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base and not spark.sparkContext.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return f"{base or os.path.join(tempfile.gettempdir(), 'corbel-checkpoint')}/{name}-{uuid.uuid4().hex}"
-
-
 def asked(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
@@ -203,12 +193,45 @@ def _chunks(rows):
     return rows.select("doc_id", "chunk_index", "text")
 
 
-@query()
+def border_sql(p: str) -> str:
+    """The first byte from p on that begins a character, or the end; h is the text in hex, n its bytes."""
+    cont = lambda x: f"({x} < n AND substr(h, ({2} * ({x}) + 1)::INT, 1) IN ('8', '9', 'a', 'b'))"
+    return f"(CASE WHEN NOT {cont(p)} THEN {p} WHEN NOT {cont(f'{p} + 1')} THEN {p} + 1 WHEN NOT {cont(f'{p} + 2')} THEN {p} + 2 ELSE {p} + 3 END)"
+
+
+@query(rf"""
+WITH RECURSIVE t AS (SELECT doc_id, lower(hex(encode(text))) AS h, octet_length(encode(text)) AS n FROM documents WHERE text IS NOT NULL AND octet_length(encode(text)) > 512),
+w(doc_id, h, n, r, a, e) AS (
+  SELECT doc_id, h, n, 0::BIGINT, 0::BIGINT, {border_sql("512")} FROM t
+  UNION ALL
+  SELECT doc_id, h, n, r, {border_sql("r")}, {border_sql("least(r + 512, n)")} FROM (SELECT doc_id, h, n, a + 462 AS r FROM w WHERE e < n AND a + 462 < n)),
+p AS (SELECT doc_id, a, decode(unhex(substr(h, (2 * a + 1)::INT, (2 * (e - a))::INT))) AS text FROM w WHERE a < e)
+SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY a) - 1)::INT AS chunk_index, text FROM p WHERE regexp_matches(text, '[^\s\x0b\x{{85}}\p{{Z}}]')
+UNION ALL SELECT doc_id, 0, text FROM documents WHERE octet_length(encode(text)) <= 512""".replace("\\\\", "\\"))
 def split_text_bytes(spark, d):
     return _chunks(split.split_bytes(table(spark, d, "documents")))
 
 
-@query()
+@query(r"""
+WITH RECURSIVE t AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(text, '[\s\x0b\x{85}\p{Z}]+'), lambda x: x <> '') AS words FROM documents WHERE ceil(octet_length(encode(text)) / 4.0) > 256),
+u AS (SELECT doc_id, words, [ceil(octet_length(encode(x)) / 4.0)::BIGINT FOR x IN words] AS k, [octet_length(encode(x)) FOR x IN words] AS b FROM t WHERE len(words) > 0),
+-- sums of the tokens and bytes of the first words, from none on
+s AS (SELECT doc_id, words, list_transform(range(0, len(words) + 1), lambda i: coalesce(list_sum(k[1:i]), 0)::BIGINT) AS k, list_transform(range(0, len(words) + 1), lambda i: coalesce(list_sum(b[1:i]), 0)::BIGINT) AS b FROM u WHERE len(words) <= 400),
+long AS (SELECT doc_id, unnest(range(0, len(words) + 1)) AS i, unnest(list_prepend(0, k)) AS k, unnest(list_prepend(0, b)) AS b FROM u WHERE len(words) > 400),
+sums AS (SELECT doc_id, i, sum(k) OVER o AS k, sum(b) OVER o AS b FROM long WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+every AS (
+  SELECT doc_id, words, k, b FROM s
+  UNION ALL SELECT doc_id, words, x.k, x.b FROM (SELECT doc_id, list(k::BIGINT ORDER BY i) AS k, list(b::BIGINT ORDER BY i) AS b FROM sums GROUP BY doc_id) x JOIN (SELECT doc_id, words FROM u) USING (doc_id)),
+-- words first to last - 1 are a chunk; those from `fresh` on are new in it
+c(doc_id, first, fresh, last) AS (
+  SELECT doc_id, 0::BIGINT, 0::BIGINT, greatest(1, len(list_filter(k, lambda x: x <= 256)) - 1)::BIGINT FROM every
+  UNION ALL
+  SELECT doc_id, f, l, greatest(l + 1, len(list_filter(k, lambda x: x - k[l + 1] + base <= 256)) - 1)
+  FROM (SELECT doc_id, k, f, l, CASE WHEN l > f THEN ceil((b[l + 1] - b[f + 1] + l - f - 1) / 4.0)::BIGINT ELSE 0 END AS base
+    FROM (SELECT doc_id, k, b, last AS l, greatest(first, len(list_filter(k, lambda x: x < k[last + 1] - 20))) AS f FROM c JOIN every USING (doc_id) WHERE last < len(words))))
+SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY last) - 1)::INT AS chunk_index, array_to_string(words[first + 1:last], ' ') AS text FROM c JOIN every USING (doc_id)
+UNION ALL SELECT doc_id, 0, text FROM documents WHERE ceil(octet_length(encode(text)) / 4.0) <= 256""")
 def split_tokens(spark, d):
     return _chunks(split.split_tokens(table(spark, d, "documents")))
 
@@ -262,6 +285,15 @@ def knn_join(spark, d):
     return rounded(search.knn_join(rows.select(F.col("chunk_id").alias("query_id"), "embedding"), rows, 5, others=True), "score")
 
 
+@query()
+def ann_knn(spark, d):
+    """Approximate neighbours of all vectors by the inverted file."""
+    rows = embedded(spark, d).select("chunk_id", "embedding")
+    at, centroids = place(spark, "vectors"), ann.fit(rows)
+    ann.assign(rows, centroids).write.partitionBy("list").parquet(at)
+    return rounded(ann.search(rows.withColumnRenamed("chunk_id", "query_id"), spark.read.parquet(at), centroids, K, others=True), "score")
+
+
 @query()
 def lsh_topk(spark, d):
     return rounded(search.lsh_search(embedded(spark, d), _first_vector(spark, d), K), "score", "distance")
@@ -314,25 +346,37 @@ def parent_child(spark, d):
 )
 def multi_collection(spark, d):
     rows, q = embedded_documents(spark, d), asked_vectors(spark, d)
-    hits, failed = search.route({x: search.knn_join(q, rows.filter(F.col("lang") == x), K) for x in LANGS}, K)
+    hits, failed = search.route({x: lambda x=x: search.knn_join(q, rows.filter(F.col("lang") == x), K) for x in LANGS}, K)
     assert not failed, failed
     return rounded(hits, "score")
 
 
-VARIANTS = [(i, v, t, len(search.expand_query(x))) for i, x in enumerate(ASKED) for v, t in enumerate(search.expand_query(x))]
+EXPANDED_SQL = rf"""base AS (SELECT item_id AS query_id, regexp_replace(text, '^[\s\x0b\x{{85}}\p{{Z}}]+|[\s\x0b\x{{85}}\p{{Z}}]+$', '', 'g') AS t FROM benchmark),
+keyed AS (SELECT query_id, t, lower(t) AS low, list_filter([regexp_replace(lower(x), '^[^\p{{L}}\p{{N}}]+|[^\p{{L}}\p{{N}}]+$', '', 'g') FOR x IN regexp_split_to_array(t, '[\s\x0b\x{{85}}\p{{Z}}]+') IF x <> ''],
+  lambda x: octet_length(encode(x)) > 2 AND x NOT IN ({", ".join(f"'{x}'" for x in T.STOP_WORDS)})) AS keys FROM base),
+forms AS (SELECT query_id, list_filter([t,
+  CASE WHEN suffix(t, '?') THEN NULL WHEN regexp_matches(low, '^(what|how|why|when|where|who)') THEN t || '?' ELSE 'What is ' || t || '?' END,
+  CASE WHEN len(keys) >= 2 THEN array_to_string(keys, ' ') END,
+  CASE WHEN NOT contains(low, 'definition') AND NOT contains(low, 'explain') THEN coalesce(keys[1], t) || ' explained' END], lambda x: x IS NOT NULL) AS l FROM keyed WHERE t <> ''),
+told AS (SELECT query_id, list_filter(l, lambda x, i: i = 1 OR x <> l[i - 1]) AS l FROM forms),
+variants AS (SELECT query_id, unnest(range(0, len(l))) AS variant, unnest(l) AS text, len(l) AS n_variants FROM told)"""
+MERGED_SQL = """m AS (SELECT query_id, chunk_id, max(score) AS raw, arg_min(score + 0.01::DOUBLE * (n_variants - 1) / rank, variant * 1000 + rank) AS raised FROM h GROUP BY ALL),
+s AS (SELECT query_id, chunk_id, greatest(raw, raised) AS score FROM m)
+SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM s) WHERE rank <= {k}"""
 
 
-@query(f"""WITH variants(query, variant, text, n_variants) AS (VALUES {", ".join(f"({i}, {v}, '{t}', {n})" for i, v, t, n in VARIANTS)}), {bm25_sql(DOCS_SQL, "SELECT query * 100 + variant AS query_id, text FROM variants", K)},
-h AS (SELECT query, variant, n_variants, chunk_id, score, rank FROM ranked JOIN variants ON query_id = query * 100 + variant),
-m AS (SELECT query AS query_id, chunk_id, max(score) AS raw, arg_min(score + 0.01::DOUBLE * (n_variants - 1) / rank, variant * 1000 + rank) AS raised FROM h GROUP BY ALL),
-s AS (SELECT query_id, chunk_id, greatest(raw, raised) AS score FROM m)
-SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM s) WHERE rank <= {K}""")
+@query(f"WITH {EXPANDED_SQL} SELECT query_id, variant::INT AS variant, text FROM variants")
+def expansions(spark, d):
+    return search.variants(asked(spark, d))
+
+
+@query(f"""WITH {EXPANDED_SQL}, {bm25_sql(DOCS_SQL, "SELECT query_id * 100 + variant AS query_id, text FROM variants", K)},
+h AS (SELECT v.query_id, variant, n_variants, chunk_id, score, rank FROM ranked r JOIN variants v ON r.query_id = v.query_id * 100 + variant), {MERGED_SQL.format(k=K)}""")
 def expanded_query(spark, d):
-    variants = spark.createDataFrame(VARIANTS, "query int, variant int, text string, n_variants int")
-    hits = bm25.search(table(spark, d, "documents"), variants.select((F.col("query") * 100 + F.col("variant")).alias("query_id"), "text"), K)
-    hits = hits.select(F.floor(F.col("query_id") / 100).cast("int").alias("query_id"), (F.col("query_id") % 100).alias("variant"), "chunk_id", "score", "rank")
-    counts = variants.select(F.col("query").alias("query_id"), "n_variants").distinct()
-    return rounded(search.merge_variants(hits, counts, K), "score")
+    variants = search.variants(asked(spark, d))
+    hits = bm25.search(table(spark, d, "documents"), variants.select((F.col("query_id") * 100 + F.col("variant")).alias("query_id"), "text"), K)
+    hits = hits.select(F.floor(F.col("query_id") / 100).alias("query_id"), (F.col("query_id") % 100).alias("variant"), "chunk_id", "score", "rank")
+    return rounded(search.merge_variants(hits, variants.groupBy("query_id").agg(F.count("*").alias("n_variants")), K), "score")
 
 
 @query(f"""WITH {bm25_sql(DOCS_SQL, ASKED_SQL, 3)},
@@ -387,6 +431,79 @@ def store_lifecycle(spark, d):
     return s.all().select("doc_id", F.col("metadata")["lang"].alias("lang"), F.size("embedding").alias("dimension"))
 
 
+CONF = Config(dimension=DIM, top_k=K)
+
+
+def _indexed(spark, rows):
+    """A stored index of rows (chunk_id string, source_id, chunk_index, text, metadata, embedding)."""
+    s = store.Store(spark, place(spark, "store"))
+    s.add(rows.withColumn("doc_id", F.col("source_id")).select(*[F.col(f.name).cast(f.dataType) for f in CHUNK.fields]), "dummy-64")
+    return s
+
+
+def _indexed_documents(spark, d):
+    rows = embedded_documents(spark, d).withColumn("chunk_id", F.format_string("d%07d", "doc_id"))
+    return _indexed(spark, rows.select("chunk_id", F.col("doc_id").cast("string").alias("source_id"), F.lit(0).alias("chunk_index"), F.coalesce("text", F.lit("")).alias("text"), F.create_map(F.lit("lang"), F.col("lang")).alias("metadata"), "embedding"))
+
+
+def _indexed_turns(spark, d):
+    turns = table(spark, d, "conversations").select(F.format_string("c%07d-%03d", "conv_id", "turn").alias("chunk_id"), F.col("conv_id").cast("string").alias("source_id"), F.col("turn").alias("chunk_index"), "text")
+    return _indexed(spark, turns.select("*", F.create_map(F.lit("role"), F.lit("x")).alias("metadata"), V.dummy_embedding(F.col("text"), DIM).alias("embedding")))
+
+
+STORED_SQL = "SELECT format('d{:07d}', vec_id) AS chunk_id, coalesce(text, '') AS text, lang, embedding FROM embeddings JOIN documents ON vec_id = doc_id"
+STORED_TURNS_SQL = f"SELECT format('c{{:07d}}-{{:03d}}', conv_id, turn) AS chunk_id, conv_id::VARCHAR AS source_id, turn, text, {DUMMY} AS embedding FROM conversations"
+
+
+@query(f"WITH {knn_sql(STORED_SQL, ASKED_VECTORS_SQL, K)} SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM near")
+def store_knn(spark, d):
+    """All questions against the vectors of a stored index, whose ids are strings."""
+    return rounded(index.rank(_indexed_documents(spark, d), asked(spark, d), CONF, K), "score")
+
+
+@query(f"""WITH {bm25_sql(STORED_SQL + " WHERE lang = 'en'", ASKED_SQL, 3 * K)}, {knn_sql(STORED_SQL + " WHERE lang = 'en'", ASKED_VECTORS_SQL, 3 * K)},
+fused AS (SELECT query_id, chunk_id, n.rank AS v_rank, r.rank AS b_rank, coalesce(0.5::DOUBLE / (60 + n.rank), 0) + coalesce(0.5::DOUBLE / (60 + r.rank), 0) AS score FROM near n FULL OUTER JOIN ranked r USING (query_id, chunk_id))
+SELECT query_id, chunk_id, v_rank, b_rank, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM fused) WHERE rank <= {K}""")
+def store_hybrid(spark, d):
+    """All questions against vectors and postings of a stored index, over one language."""
+    hits = index.rank(_indexed_documents(spark, d), asked(spark, d), CONF, K, True, {"lang": "en"})
+    return rounded(hits.select("query_id", "chunk_id", "v_rank", "b_rank", "score", "rank"), "score")
+
+
+@query(f"""WITH {knn_sql(STORED_TURNS_SQL, ASKED_VECTORS_SQL, 3 * K)},
+seen AS (SELECT query_id, source_id, min(rank) AS first, arg_min(score, rank) AS score FROM near JOIN vc USING (chunk_id) GROUP BY ALL),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY first) AS rank FROM seen) WHERE rank <= {K}),
+whole AS (SELECT source_id, string_agg(text, chr(10) ORDER BY turn, chunk_id) AS text, count(*) AS child_chunks FROM vc GROUP BY ALL)
+SELECT query_id, source_id, rank, round(score, 6) AS score, text, child_chunks FROM best JOIN whole USING (source_id)""")
+def store_parent(spark, d):
+    """Whole conversations by the turns that are nearest to all questions, over a stored index."""
+    return rounded(index.query_parent(_indexed_turns(spark, d), asked(spark, d), CONF).drop("metadata"), "score")
+
+
+@query(f"""WITH {EXPANDED_SQL}, {knn_sql(STORED_SQL, f"SELECT query_id * 100 + variant AS query_id, text, {DUMMY} AS embedding FROM variants", K)},
+h AS (SELECT v.query_id, variant, n_variants, chunk_id, score, rank FROM near r JOIN variants v ON r.query_id = v.query_id * 100 + variant), {MERGED_SQL.format(k=K)}""")
+def store_expanded(spark, d):
+    """The variants of all questions over a stored index, merged."""
+    return rounded(index.query_expanded(_indexed_documents(spark, d), asked(spark, d), CONF), "score")
+
+
+@query(f"""WITH {knn_sql(STORED_SQL, ASKED_VECTORS_SQL, K, "a")}, {knn_sql(STORED_TURNS_SQL, ASKED_VECTORS_SQL, K, "b")},
+every AS (SELECT query_id, chunk_id, score, 'documents' AS collection FROM neara UNION ALL SELECT query_id, chunk_id, score, 'turns' FROM nearb)
+SELECT query_id, chunk_id, round(score, 6) AS score, collection, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM every) WHERE rank <= {K}""")
+def store_collections(spark, d):
+    """Two stored indexes and one that can't be read."""
+    broken = store.MemoryStore(spark)
+    broken._chunks = spark.range(1).select(F.raise_error(F.lit("broken")).cast("string").alias("chunk_id"), F.array(F.lit(1.0)).cast("array<float>").alias("embedding"))
+    hits, failed = index.query_collections({"documents": _indexed_documents(spark, d), "turns": _indexed_turns(spark, d), "broken": broken}, asked(spark, d), CONF)
+    assert len(failed) == 1, failed
+    return rounded(hits, "score")
+
+
+@query("SELECT lang, count(*) AS chunks FROM documents JOIN embeddings ON vec_id = doc_id GROUP BY lang")
+def store_counts(spark, d):
+    return _indexed_documents(spark, d).counts("lang")
+
+
 @query(ORACLE["dummy_embed"])
 def embed_cache(spark, d):
     """Embeddings of all documents, those of one language from a cache."""
@@ -408,11 +525,11 @@ def _entities(spark, d):
     return graph.entities(table(spark, d, "documents"), GRAPH_TERMS, nouns=False, id_col="doc_id")
 
 
-TERMS_SQL = f"terms(name) AS (VALUES {', '.join(f"('{t}')" for t in GRAPH_TERMS['TERM'])}), m AS (SELECT doc_id AS chunk_id, name FROM documents, terms WHERE contains(lower(text), name)), e AS (SELECT a.name AS source, b.name AS target, count(*) AS weight FROM m a JOIN m b USING (chunk_id) WHERE a.name < b.name GROUP BY ALL)"
+TERMS_SQL = f"terms(name, type) AS (VALUES {', '.join(f"('{t}', '{kind}')" for kind in GRAPH_TERMS for t in GRAPH_TERMS[kind])}), m AS (SELECT doc_id AS chunk_id, name, type FROM documents, terms WHERE contains(lower(text), name)), e AS (SELECT a.name AS source, b.name AS target, count(*) AS weight FROM m a JOIN m b USING (chunk_id) WHERE a.name < b.name GROUP BY ALL)"
 WALK_SQL = "both_ways AS (SELECT source, target FROM e UNION SELECT target, source FROM e), walk(start, name, depth) AS (SELECT start, start, 0 FROM starts UNION SELECT start, target, depth + 1 FROM walk JOIN both_ways ON name = source WHERE depth < {hops}), reached AS (SELECT start, name, min(depth) AS depth FROM walk GROUP BY ALL)"
 
 
-@query(f"WITH {TERMS_SQL} SELECT name, 'TERM' AS type, count(*) AS chunks FROM m GROUP BY name")
+@query(f"WITH {TERMS_SQL} SELECT name, type, count(*) AS chunks FROM m GROUP BY ALL")
 def graph_nodes(spark, d):
     return graph.nodes(_entities(spark, d))
 
@@ -456,7 +573,20 @@ def graph_vector_fusion(spark, d):
     return rounded(search.graph_fusion(_graph_hits(spark, d, 3 * K), near, K), "score")
 
 
-@query()
+COMMON_SQL = ", ".join(f"'{w}'" for w in sorted(graph.COMMON))
+
+
+@query(rf"""
+WITH w AS (SELECT doc_id, unnest(l) AS raw, unnest(range(0, len(l))) AS i FROM (SELECT doc_id, list_filter(regexp_split_to_array(text, '[\s\x0b\x{{85}}\p{{Z}}]+'), lambda x: x <> '') AS l FROM documents)),
+c AS (SELECT doc_id, i, raw, regexp_replace(raw, '^[^\p{{L}}\p{{N}}]+|[^\p{{L}}\p{{N}}]+$', '', 'g') AS word FROM w),
+b AS (SELECT *, octet_length(encode(word)) > 1 AND regexp_matches(word, '^\p{{Lu}}') AS big, lag(raw) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM c),
+-- runs of words with capitals; a name begins at the first of a run that begins no sentence
+r AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id ORDER BY i) AS run, i > 0 AND NOT regexp_matches(before, '[.!?]$') AS may FROM b WHERE big),
+f AS (SELECT *, min(CASE WHEN may THEN i END) OVER (PARTITION BY doc_id, run) AS first FROM r),
+n AS (SELECT doc_id, lower(string_agg(word, ' ' ORDER BY i)) AS name, count(*) AS k FROM f WHERE i >= first GROUP BY doc_id, run),
+d AS (SELECT DISTINCT doc_id, name, CASE WHEN k > 1 THEN 'PROPER_NOUN' ELSE 'NOUN' END AS type FROM n WHERE name NOT IN ({COMMON_SQL})),
+one AS (SELECT doc_id, name, max(type) AS type FROM d GROUP BY ALL)
+SELECT name, max(type) AS type, count(*) AS chunks FROM one GROUP BY name""")
 def graph_proper_nouns(spark, d):
     return graph.nodes(graph.entities(table(spark, d, "documents"), {}, id_col="doc_id"))
 

@@ -28,11 +28,11 @@ def sync_folder(store: Store, root: str, index, extensions: list[str] | None = N
     return store.sync(now, lambda fresh: index(files.join(fresh.select("path"), "path", "left_semi")), model)
 
 
-def watch(spark: SparkSession, store: Store, root: str, index, extensions: list[str] | None = None, quiet: float = 0.5, every: str = "5 seconds", checkpoint: str | None = None):
+def watch(spark: SparkSession, store: Store, root: str, index, extensions: list[str] | None = None, quiet: float = 0.5, every: str = "5 seconds", checkpoint: str | None = None, model: str | None = None):
     """A streaming query that runs sync_folder() in each micro-batch, until it is stopped."""
 
     def batch(_: DataFrame, number: int) -> None:
-        sync_folder(store, root, index, extensions, quiet)
+        sync_folder(store, root, index, extensions, quiet, model)
 
     ticks = spark.readStream.format("rate").option("rowsPerSecond", 1).load()
     writer = ticks.writeStream.foreachBatch(batch).trigger(processingTime=every)
