@@ -3,7 +3,7 @@
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bm25
@@ -56,6 +56,19 @@ def assign(vectors: DataFrame, centroids: np.ndarray) -> DataFrame:
     return rows.mapInArrow(run, f"chunk_id {id_type}, embedding array<float>, list int")
 
 
+def save(vectors: DataFrame, path: str, lists: int = LISTS, sample: int = SAMPLE) -> None:
+    """Fits centroids to vectors (chunk_id, embedding) and writes both, the vectors partitioned by list."""
+    c = fit(vectors, lists, sample)
+    vectors.sparkSession.createDataFrame([(i, x.tolist()) for i, x in enumerate(c)], "list int, centroid array<float>").write.mode("overwrite").parquet(f"{path}/centroids")
+    assign(vectors, c).write.mode("overwrite").partitionBy("list").parquet(f"{path}/vectors")
+
+
+def load(spark: SparkSession, path: str) -> tuple[DataFrame, np.ndarray]:
+    """(index, centroids) for search()."""
+    rows = spark.read.parquet(f"{path}/centroids").orderBy("list").collect()  # as many as lists
+    return spark.read.parquet(f"{path}/vectors"), np.array([r.centroid for r in rows], dtype=np.float32)
+
+
 def search(queries: DataFrame, index: DataFrame, centroids: np.ndarray, k: int = 10, probes: int = PROBES, others: bool = False, salts: int = 8) -> DataFrame:
     """(query_id, chunk_id, score, rank): the k nearest by cosine among the vectors of the `probes` lists nearest to
     each query (query_id, embedding). index as from assign().

@@ -289,14 +289,9 @@ def knn_join(spark, d):
 def ann_knn(spark, d):
     """Approximate neighbours of all vectors by the inverted file."""
     rows = embedded(spark, d).select("chunk_id", "embedding")
-    at, centroids = place(spark, "vectors"), ann.fit(rows)
-    ann.assign(rows, centroids).write.partitionBy("list").parquet(at)
-    return rounded(ann.search(rows.withColumnRenamed("chunk_id", "query_id"), spark.read.parquet(at), centroids, K, others=True), "score")
-
-
-@query()
-def lsh_topk(spark, d):
-    return rounded(search.lsh_search(embedded(spark, d), _first_vector(spark, d), K), "score", "distance")
+    at = place(spark, "vectors")
+    ann.save(rows, at)
+    return rounded(ann.search(rows.withColumnRenamed("chunk_id", "query_id"), *ann.load(spark, at), K, others=True), "score")
 
 
 HYBRID_SQL = f"""WITH {bm25_sql("SELECT chunk_id, text FROM (" + EMBEDDED_DOCS_SQL + ")", ASKED_SQL, 3 * K)}, {knn_sql(EMBEDDED_DOCS_SQL, ASKED_VECTORS_SQL, 3 * K)},

@@ -15,7 +15,7 @@ from corbel.plans.index import add_documents, find, indexer
 from corbel.schema import CHUNK, StoreError
 from corbel.sources import loaders
 from corbel.sources.store import Store, diff, export_documents
-from corbel.streaming.watch import event_windows, sync_folder
+from corbel.streaming.watch import event_windows, sync_folder, watch
 
 
 @pytest.fixture
@@ -89,6 +89,28 @@ def test_folder_sync(spark, folder, tmp_path):
     assert [r.text for r in s.all().collect()] == ["changed"]
 
 
+def test_watched_folder(spark, folder, tmp_path):
+    s, conf = Store(spark, str(tmp_path / "ix")), Config(dimension=8)
+    q = watch(spark, s, str(folder), indexer(conf), ["txt"], 0, "1 second", str(tmp_path / "state"), "dummy-8")
+
+    def until(ready):
+        for _ in range(120):
+            if q.exception():
+                raise q.exception()
+            if ready():
+                return True
+            time.sleep(0.5)
+        return False
+
+    try:
+        assert until(lambda: s.count() == 2)
+        (folder / "f.txt").write_text("changed")
+        os.remove(folder / "sub/g.TXT")
+        assert until(lambda: [r.text for r in s.all().collect()] == ["changed"])
+    finally:
+        q.stop()
+
+
 def test_diff(spark):
     a = spark.createDataFrame([("a", "1"), ("b", "2"), ("c", "3")], "path string, content_hash string")
     b = spark.createDataFrame([("b", "2"), ("c", "4"), ("d", "5")], "path string, content_hash string")

@@ -156,7 +156,7 @@ def test_bm25_ways_agree(spark, monkeypatch):
     assert bm25.search(docs, none, 5).count() == 0 and bm25.search(docs.limit(0), asked, 5).count() == 0
 
 
-def test_inverted_file_recall(spark):
+def test_inverted_file_recall(spark, tmp_path):
     rows = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").select(F.col("vec_id").alias("chunk_id"), "embedding")
     centroids = ann.fit(rows)
     held = ann.assign(rows, centroids)
@@ -166,6 +166,9 @@ def test_inverted_file_recall(spark):
     assert held.count() == rows.count() and len(got & want) >= 0.9 * len(want)
     every = {(r.query_id, r.chunk_id) for r in ann.search(asked, held, centroids, 10, 64, others=True).collect()}
     assert every == want
+    ann.save(rows, str(tmp_path / "v"))
+    again = ann.search(asked, *ann.load(spark, str(tmp_path / "v")), 10, others=True).collect()
+    assert {(r.query_id, r.chunk_id) for r in again} == got
 
 
 def test_graph_is_saved_and_asked(spark, tmp_path):
