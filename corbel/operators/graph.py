@@ -5,6 +5,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import split_words
+from ..shared import checkpoint
 from .bm25 import top
 
 #: Dictionary terms by type; a term counts wherever its letters are, also inside a word.
@@ -105,13 +106,15 @@ def neighbours(edges: DataFrame, name: str, both: bool = False) -> DataFrame:
 
 def traverse(edges: DataFrame, starts: DataFrame, max_hops: int = 2) -> DataFrame:
     """(start, name, depth) of all nodes within max_hops of each start, edges taken both ways; a start that
-    isn't in the graph is reached too. starts: (start)."""
+    isn't in the graph is reached too. starts: (start). The edges are read once and kept in the shared checkpoint
+    folder for the hops, and so is each hop's frontier."""
     both = edges.select("source", "target").unionByName(edges.select(F.col("target").alias("source"), F.col("source").alias("target"))).distinct()
+    both = checkpoint(both)
     seen = starts.select(F.lower("start").alias("start")).distinct().select("start", F.col("start").alias("name"), F.lit(0).alias("depth"))
     frontier = seen
     for hop in range(1, max_hops + 1):
         step = frontier.join(both, frontier["name"] == both["source"]).select("start", F.col("target").alias("name")).distinct()
-        frontier = step.join(seen, ["start", "name"], "left_anti").select("start", "name", F.lit(hop).alias("depth"))
+        frontier = checkpoint(step.join(seen, ["start", "name"], "left_anti").select("start", "name", F.lit(hop).alias("depth")))
         seen = seen.unionByName(frontier)
     return seen
 

@@ -9,7 +9,7 @@ from ..functions import vectors as V
 from ..functions.embedding import DummyEmbedder, embed_cached
 from ..operators import ann, bm25, evaluation, graph, search, split
 from ..schema import CHUNK
-from ..shared import place
+from ..shared import checkpoint, place
 from ..sources import loaders, store
 from ..streaming.watch import event_windows
 from . import index
@@ -545,7 +545,7 @@ def graph_neighbours(spark, d):
 
 
 def _graph_hits(spark, d, k):
-    held = _entities(spark, d)
+    held = checkpoint(_entities(spark, d))
     q = spark.createDataFrame([(0, FROM), (1, "einber"), (1, "ieroi")], "query_id int, name string")
     return graph.retrieve(graph.cooccurrence(held), graph.mentions(held), q, k, 1)
 
