@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from . import textkernel as K
 from .common import checkpoint, row_keys, texts
-from .graphs import components
+from .graphs import components, forest
 
 LANES = 4
 BITS = 64 * LANES
@@ -169,26 +169,6 @@ def group_edges(key: np.ndarray, fp: np.ndarray, max_bits: int):
                 rest = np.setdiff1d(rest, hit, assume_unique=True)
 
 
-def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Edges that connect what the edges (a, b) connect, at most one for each node: to the least node of its part."""
-    ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
-    x, y = at[: len(a)], at[len(a) :]
-    label = np.arange(len(ids))
-    while True:
-        least = np.minimum(label[x], label[y])
-        new = label.copy()
-        np.minimum.at(new, x, least)
-        np.minimum.at(new, y, least)
-        np.minimum.at(new, label[x], least)
-        np.minimum.at(new, label[y], least)
-        new = new[new]
-        if (new == label).all():
-            break
-        label = new
-    own = np.flatnonzero(label != np.arange(len(ids)))
-    return ids[own], ids[label[own]]
-
-
 def near_edges(reps: DataFrame, max_bits: int, bits: int, bands: int) -> DataFrame:
     """(a, b): edges that join all near fingerprints which share a band. reps: (id, f0..f3), distinct fingerprints."""
     where = band_positions(bits, bands)

@@ -103,7 +103,7 @@ def test_same_groups_in_a_larger_table(spark):
 def test_forest_connects_the_same():
     rng = np.random.default_rng(5)
     a, b = rng.integers(0, 400, (2, 300))
-    x, y = simhash.forest(a, b)
+    x, y = graphs.forest(a, b)
 
     def parts(edges):
         label = {i: i for e in zip(a.tolist(), b.tolist()) for i in e}
@@ -135,7 +135,9 @@ def test_awkward_documents(spark):
 
 def test_components(spark):
     edges = [(i, i + 1) for i in range(100, 160)] + [(1, 50), (2, 50), (2, 3), (7, 7)]
-    got = dict(rows(graphs.components(spark.createDataFrame(edges, "a long, b long"))))
+    frame = spark.createDataFrame(edges, "a long, b long")
+    got = dict(rows(graphs.components(frame)))
+    assert dict(rows(graphs.components(frame, 5))) == got and graphs.components(frame.limit(0)).count() == 0
     assert got == {**{i: 100 for i in range(100, 161)}, 1: 1, 2: 1, 3: 1, 50: 1}
 
 
@@ -162,12 +164,13 @@ def test_signatures_equal_brute_force():
             assert [int(p @ (1 << np.arange(bits))) for p in planes] == brute_signature(s[sh[i] : sh[i + 1]], 128, bits)
 
 
-def test_jaccard_estimate(spark):
+@pytest.mark.parametrize("bits", [8, 4, 16])
+def test_jaccard_estimate(spark, bits):
     base = prose(2000, 5)
     texts = [base] + [edited(base, p, 7) for p in (0.02, 0.1, 0.3)] + [prose(2000, 6), None, "", base]
-    sig = minhash.fingerprint(table(spark, [row(i, t) for i, t in enumerate(texts)]))
+    sig = minhash.fingerprint(table(spark, [row(i, t) for i, t in enumerate(texts)]), bits=bits)
     pairs = sig.filter("doc_id = 0").selectExpr("signature as a").crossJoin(sig.selectExpr("doc_id", "signature as b"))
-    got = {r[0]: r[1] for r in pairs.select("doc_id", minhash.jaccard(pairs["a"], pairs["b"])).collect()}
+    got = {r[0]: r[1] for r in pairs.select("doc_id", minhash.jaccard(pairs["a"], pairs["b"], bits=bits)).collect()}
 
     def shingles(t):
         w = t.split()
