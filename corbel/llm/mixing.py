@@ -67,8 +67,9 @@ def positions(rows: DataFrame, schedule=annealed) -> DataFrame:
     asked for more than it has is passed through again, in epochs from 0.
     """
     rows = checkpoint(rows)
-    totals = rows.groupBy("source").agg(F.sum("tokens").alias("size"))
-    pieces = checkpoint(segments(schedule(totals)))
+    totals = checkpoint(rows.groupBy("source").agg(F.sum("tokens").alias("size")))
+    pieces = segments(schedule(totals))
+    pieces = checkpoint(pieces.withColumn("last", F.row_number().over(Window.partitionBy("source").orderBy(F.desc("t0"))) == 1))
     demand = pieces.groupBy("source").agg(F.max("d1").alias("demand"))
     need = totals.join(demand, "source")
     run = need.agg(F.max(F.col("size") / F.col("demand")).alias("run"))
@@ -76,9 +77,9 @@ def positions(rows: DataFrame, schedule=annealed) -> DataFrame:
     # The longest source's last token may lie beyond its demand by rounding alone.
     epochs = F.greatest(F.lit(1), F.ceil(F.col("demand") * F.col("run") / F.col("size") - 1e-9)).cast("int")
     need = need.select("source", "size", "run", "demand", F.explode(F.sequence(F.lit(0), epochs - 1)).alias("epoch"))
+    need = checkpoint(need)
     x = (F.col("epoch") * F.col("size") + F.col("upto") - F.col("tokens") / 2) / F.col("run")
     placed = running(rows).join(need, "source").withColumn("x", x).filter("epoch = 0 or x < demand")
-    pieces = pieces.withColumn("last", F.row_number().over(Window.partitionBy("source").orderBy(F.desc("t0"))) == 1)
     placed = placed.join(pieces, "source").filter("x >= d0 and (x < d1 or last)")
     slope = (F.col("w1") - F.col("w0")) / (F.col("t1") - F.col("t0"))
     left = F.col("x") - F.col("d0")
