@@ -85,7 +85,11 @@ def jaccard(a: Column, b: Column, bins: int = BINS, bits: int = BITS) -> Column:
     """
     if bits % 4:
         raise ValueError("bits must be a multiple of 4 to compare by columns")
-    step = bits // 4
-    same = F.aggregate(F.sequence(F.lit(0), F.lit(bins - 1)), F.lit(0), lambda n, i: n + F.when(F.substr(F.hex(a), i * step + 1, F.lit(step)) == F.substr(F.hex(b), i * step + 1, F.lit(step)), 1).otherwise(0))
+    if bits % 8 == 0:
+        step, x, y = bits // 8, a, b
+    else:
+        step, x, y = bits // 4, F.hex(a), F.hex(b)
+    part = lambda c, i: F.substring(c, i * step + 1, F.lit(step))
+    same = F.aggregate(F.sequence(F.lit(0), F.lit(bins - 1)), F.lit(0), lambda n, i: n + F.when(part(x, i) == part(y, i), 1).otherwise(0))
     chance = 2.0**-bits
     return F.when(a.isNotNull() & b.isNotNull(), F.greatest(F.lit(0.0), (same / bins - chance) / (1 - chance)))
