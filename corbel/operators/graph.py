@@ -75,9 +75,15 @@ def entities(chunks: DataFrame, terms: dict[str, list[str]] | None = None, nouns
     return rows.select("chunk_id", F.transform(first, lambda e: F.struct(e["name"].alias("name"), e["type"].alias("type"))).alias("entities"))
 
 
+def _exploded(rows: DataFrame, column: str, to: str) -> DataFrame:
+    """rows with an element of `column` each. An inner explode would infer a filter on the array, which Catalyst
+    pushes to where the array is made, so that it is worked out once more for it."""
+    return rows.select("*", F.explode_outer(column).alias(to)).filter(F.col(to).isNotNull())
+
+
 def mentions(held: DataFrame) -> DataFrame:
     """(name, type, chunk_id); a name's type is the same in all chunks, the first by PRECEDENCE that it has anywhere."""
-    return held.select(F.explode("entities").alias("e"), "chunk_id").select("e.name", "e.type", "chunk_id")
+    return _exploded(held.select("chunk_id", "entities"), "entities", "e").select("e.name", "e.type", "chunk_id")
 
 
 def nodes(held: DataFrame) -> DataFrame:
@@ -94,8 +100,8 @@ def cooccurrence(held: DataFrame) -> DataFrame:
     """
     names = F.transform("entities", lambda e: e["name"])
     pairs = F.flatten(F.transform("names", lambda a, i: F.transform(F.slice("names", i + 2, F.size("names")), lambda b: F.struct(a.alias("source"), b.alias("target")))))
-    rows = held.select(names.alias("names")).filter(F.size("names") > 1)
-    return rows.select(F.explode(pairs).alias("p")).groupBy("p.source", "p.target").agg(F.count("*").alias("weight"))
+    rows = held.select(names.alias("names")).select(pairs.alias("pairs"))
+    return _exploded(rows, "pairs", "p").groupBy("p.source", "p.target").agg(F.count("*").alias("weight"))
 
 
 def neighbours(edges: DataFrame, name: str, both: bool = False) -> DataFrame:
