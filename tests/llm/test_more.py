@@ -388,6 +388,62 @@ def test_gradients():
     assert loss(m) < before / 2
 
 
+class Ones:
+    """Keeps every word."""
+
+    def random(self, n):
+        return np.ones(n)
+
+
+def test_gradients_equal_differences():
+    docs = [(np.frombuffer(toxicity.features(pa.array([prose(12, 40 + i)]))[0].tobytes(), dtype=np.int32).reshape(-1, 3), i % 2) for i in range(5)]
+
+    def loss(m):
+        z = np.array([np.maximum(m.maxima(d, np.array([0, len(d)]))[0] + np.concatenate(m.bias), 0) @ m.out + m.out_bias for d, _ in docs], dtype=np.float64)
+        y = np.array([v for _, v in docs])
+        return np.mean(np.log1p(np.exp(-z)) * y + np.log1p(np.exp(z)) * (1 - y))
+
+    m = toxicity.Model(5)
+    sums = {k: np.full(v.shape, 1e-20) for k, v in m._weights()}
+    m._step(docs, sums, Ones())
+    for name in ("out", "conv0", "conv1", "conv2", "bias1", "embed"):
+        want = np.sqrt(sums[name])
+        for at in np.argsort(-want.ravel())[:5]:
+            at, sides = np.unravel_index(at, want.shape), []
+            for step in (1e-3, -1e-3):
+                other = toxicity.Model(5)
+                dict(other._weights())[name][at] += np.float32(step)
+                sides.append(loss(other))
+            assert abs(sides[0] - sides[1]) / 2e-3 == pytest.approx(float(want[at]), rel=0.05, abs=2e-4), name
+
+
+def test_scores_equal_brute_force(spark):
+    m, texts = toxicity.Model(2), [prose(n, 60 + n) for n in (1, 2, 5, 90)] + ["", None]
+    m.trained, m.thresholds, m.default = True, {"de": 0.2}, 0.4
+    got = {r.doc_id: r for r in toxicity.score(table(spark, [row(i, t, "de" if i % 2 else "en") for i, t in enumerate(texts)]), m).collect()}
+    for i, t in enumerate(texts):
+        v = m.embed[toxicity.features(pa.array([t or ""]))[0]].sum(axis=1)
+        h = []
+        for w, conv, bias in zip(toxicity.WIDTHS, m.conv, m.bias):
+            places = [sum(v[s + j] @ conv[j] for j in range(w)) for s in range(len(v) - w + 1)]
+            h.append(np.maximum(np.max(places, axis=0) + bias, 0) if places else np.zeros(toxicity.FILTERS))
+        want = 1 / (1 + np.exp(-(np.concatenate(h) @ m.out + m.out_bias))) if len(v) else 0.0
+        cut = 0.2 if i % 2 else 0.4
+        assert got[i].score == pytest.approx(float(want), abs=1e-5) and got[i].threshold == cut and got[i].toxic == bool(len(v) and want >= cut)
+
+
+def test_thresholds_equal_brute_force():
+    r = np.random.default_rng(8)
+    for _ in range(50):
+        y = (r.random(30) < 0.4).astype(int)
+        score = np.round(np.clip(0.3 * y + r.random(30) * 0.7, 0, 1), 1)  # with ties
+        t = toxicity.best_threshold(score, y, 0.5)
+        f1 = lambda c: 2 * y[score >= c].sum() / max((score >= c).sum() + y.sum(), 1)
+        assert f1(t) == pytest.approx(max(f1(c) for c in np.linspace(0, 1, 201)))
+    assert toxicity.best_threshold(np.array([0.2, 0.2, 0.8, 0.8]), np.array([0, 0, 1, 1]), 0.1) == pytest.approx(0.5)
+    assert toxicity.best_threshold(np.array([0.2, 0.8]), np.array([1, 1]), 0.1) == 0.1
+
+
 def test_toxicity_awkward(spark):
     docs, none = table(spark, awkward()), spark.createDataFrame([], "doc_id long, quality int, toxic int")
     one = spark.createDataFrame([(1, 1, 1), (7, 0, 0), (None, None, None), (2, 0, 1), (3, 1, 0)], none.schema)

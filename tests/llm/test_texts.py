@@ -239,6 +239,24 @@ def test_hundreds_of_rules():
     assert len(licenses.rules()) >= 200
 
 
+def unfiltered(s, text):
+    """What all rules find without the automaton, by the same priorities."""
+    found = []
+    for i, (name, kind, pattern) in enumerate(s.rules):
+        found += [(-licenses.RANK[kind], m.start() - m.end(), m.start(), i, m.end(), m[1] if name == "*" else name) for m in pattern.finditer(text)]
+    kept = []
+    for _, _, a, i, b, name in sorted(found):
+        if all(b <= x or y <= a for x, y, *_ in kept):
+            kept.append((a, b, name, i))
+    return sorted(kept)
+
+
+def test_scan_equals_all_rules_on_the_test_documents(spark):
+    s, docs = licenses.Scanner(), spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    want = [(r.doc_id, a, b, name, i) for r in docs.collect() for a, b, name, i in unfiltered(s, r.text or "")]
+    assert sorted((r.doc_id, r.start, r.end, r.license, r.rule) for r in licenses.scan(docs).collect()) == sorted(want) and want
+
+
 def test_prefilter_changes_nothing():
     s = licenses.Scanner()
     text = "Licensed under the Apache License, Version 2.0. SPDX-License-Identifier: MIT OR Apache-2.0\nGNU Lesser General Public License v2.1, BSD 3-Clause, https://www.gnu.org/licenses/gpl-3.0.html"
