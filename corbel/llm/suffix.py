@@ -178,14 +178,14 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
                 row, first, count, bucket, content = segments(h, at, min_words)
                 yield pa.RecordBatch.from_arrays([pa.array(bucket.view(np.int64)), pa.array(content.view(np.int64)), part.column(0).take(pa.array(row)), pa.array(first.astype(np.int32)), pa.array(count.astype(np.int32))], ["m", "c", "id", "s", "n"])
 
-    cuts = rows.mapInArrow(cut, "m long, c long, id long, s int, n int").repartition("m")
-    bucket, kind = Window.partitionBy("m"), Window.partitionBy("m", "c")
-    shared = (
-        cuts.withColumn("least", F.min("id").over(bucket)).withColumn("most", F.max("id").over(bucket)).filter("least < most")
-        .withColumn("mixed", F.min("c").over(bucket) != F.max("c").over(bucket))
-        .withColumn("lo", F.min("id").over(kind)).withColumn("hi", F.max("id").over(kind)).withColumn("r", F.row_number().over(kind.orderBy("id", "s")))
-    )
-    shared = checkpoint(shared.select("m", "c", "id", "s", "n", "lo", "hi", "mixed", (F.col("r") == 1).alias("one")).filter("mixed or lo < hi"))
+    # A bucket may hold a passage of a third of the documents: its rows are never brought together, only what is
+    # aggregated from them, and joins may split them.
+    cuts = rows.mapInArrow(cut, "m long, c long, id long, s int, n int")
+    several = cuts.groupBy("m").agg(F.min("id").alias("least"), F.max("id").alias("most"), (F.min("c") != F.max("c")).alias("mixed")).filter("least < most").select("m", "mixed")
+    shared = checkpoint(cuts.join(several, "m"))
+    kinds = shared.groupBy("m", "c").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.min(F.struct("id", "s")).alias("first"))
+    shared = shared.join(kinds, ["m", "c"]).filter("mixed or lo < hi")
+    shared = checkpoint(shared.select("m", "c", "id", "s", "n", "lo", "hi", "mixed", (F.struct("id", "s") == F.col("first")).alias("one")))
     whole = shared.filter("lo < hi").select("id", "s", (F.col("s") + F.col("n") + F.lit(min_words - 1)).alias("e"), F.col("lo").alias("first"))
 
     need = shared.filter("mixed and one").groupBy("id").agg(F.collect_list(F.struct("m", "c", "s", "n", "lo", "hi")).alias("need"))
