@@ -31,8 +31,9 @@ def register_loader(extension: str, read) -> None:
 
 
 def scan(spark: SparkSession, root: str, extensions: list[str] | None = None) -> DataFrame:
-    """binaryFile rows below root with `extension`; those of the given extensions only."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    """binaryFile rows below root with `extension`; those of the given extensions only. A file that goes between the
+    listing and the reading is left out."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("ignoreMissingFiles", "true").load(root)
     files = files.withColumn("extension", normal_extension(F.regexp_extract("path", r"\.([^./]+)$", 1)))
     if extensions is not None:
         files = files.filter(F.col("extension").isin(["." + e.lower().lstrip(".") for e in extensions]))
