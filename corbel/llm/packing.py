@@ -3,10 +3,8 @@
 Documents with the same least shingle hash in each of SLOTS slots are a node.
 Two nodes are related if a slot agrees and their signatures of BINS bins give
 a Jaccard similarity of at least LEAST; each node's NEIGHBOURS most similar
-are its edges. A slot's value that more than FULL nodes share is no bucket of
-its own: its nodes are divided by each later slot's value, and so on, so that
-a shingle of a third of the corpus makes no bucket of a third of the corpus;
-there they meet the bucket's least node, and all that agree in another slot.
+are its edges. All nodes of a slot's value are compared; where more than FULL
+share it, by blocks of BLOCK nodes, each two in a group of their own.
 Edges are taken from the most similar on where they join the ends of two
 paths, so that all nodes lie on paths; windows of `window` words are filled
 along them, through one connected part after the other.
@@ -33,8 +31,10 @@ NEIGHBOURS = 4
 WINDOW = 2048
 #: Nodes that one task walks. The paths of larger parts are made by rounds over all tasks, with the same result.
 MOST_NODES = 200_000
-#: Largest bucket that is compared in full; larger ones are divided by the other slots.
+#: Largest bucket that one task compares; larger ones are compared by pairs of blocks.
 FULL = 256
+#: Nodes of a block.
+BLOCK = 1 << 14
 BUCKETS = 4096
 #: Parts of a bucket without in_order, so that a connected part of any size is spread over as many tasks.
 PARTS = 64
@@ -139,13 +139,51 @@ def nearest_in_buckets(key: np.ndarray, node: np.ndarray, codes: np.ndarray, k:
         yield node[rows[a]], node[rows[b]], like[a, b]
 
 
+def nearest_among(node: np.ndarray, codes: np.ndarray, base: np.ndarray, held: np.ndarray, k: int):
+    """Yields (node, other, like) arrays: each node's k nearest of at least LEAST among `base`, whose codes are `held`,
+    by most similarity, then by least node. base has no node twice.
+
+    Bins that agree are counted along lists of the rows that have a code in a bin, about four a pair of rows.
+    """
+    order = np.argsort(base)
+    base, held = base[order], held[order]
+    m = len(base)
+    lists = np.argsort(held, axis=0, kind="stable").T.ravel()
+    cut = np.zeros((BINS, 65), dtype=np.int64)
+    for i in range(BINS):
+        np.cumsum(np.bincount(held[:, i], minlength=64), out=cut[i, 1:])
+    cut += np.arange(BINS)[:, None] * m
+    has, own = (np.packbits(x > 0, axis=1).view(np.uint64) for x in (held, codes))
+    need = np.bitwise_count(own).sum(axis=1) * (LEAST * (1 - 1 / 63) + 1 / 63) - 1e-3  # of at least as many bins that either has
+    out, n = [], 0
+    for row in range(len(node)):
+        bins = np.flatnonzero(codes[row])
+        if not len(bins):
+            continue
+        code = codes[row, bins]
+        same = np.bincount(np.concatenate([lists[x:y] for x, y in zip(cut[bins, code].tolist(), cut[bins, code + 1].tolist())]), minlength=m)
+        at = np.flatnonzero(same >= need[row])
+        like = similarity(same[at], np.bitwise_count(has[at] | own[row]).sum(axis=1))
+        keep = (like >= LEAST * SCALE) & (base[at] != node[row])
+        at, like = at[keep], like[keep]
+        if len(at) > k:
+            best = np.argpartition(at - like.astype(np.int64) * m, k - 1)[:k]
+            at, like = at[best], like[best]
+        out.append((np.full(len(at), node[row]), base[at], like))
+        n += len(at)
+        if n >= 1 << 16:
+            yield tuple(map(np.concatenate, zip(*out)))
+            out, n = [], 0
+    if out:
+        yield tuple(map(np.concatenate, zip(*out)))
+
+
 def buckets(nodes: DataFrame, full: int = FULL) -> tuple[DataFrame, DataFrame | None]:
-    """((k, node) of the buckets of 2 to `full` nodes, (node, hub) of those that were divided). nodes: (node, slots).
+    """((k, node) of the buckets of 2 to `full` nodes, (k, node, n) of the larger ones with their sizes, None without any).
+    nodes: (node, slots).
 
     Rows are counted by key before any are brought together, so no task holds
-    a bucket of more than `full` nodes. A larger bucket is divided by its
-    nodes' later values that are in such buckets too; nodes that share any
-    other value meet by that one.
+    a bucket of more than `full` nodes. The larger ones are compared by blocks.
     """
 
     def emit(batches):
@@ -154,28 +192,27 @@ def buckets(nodes: DataFrame, full: int = FULL) -> tuple[DataFrame, DataFrame |
             for i in range(SLOTS):
                 at = np.flatnonzero(s[:, i] != NONE)
                 keys = K.mix(s[at, i] ^ np.uint64(i)).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.full(len(at), i, dtype=np.int32)), batch.column(0).take(pa.array(at))], ["k", "last", "node"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys), batch.column(0).take(pa.array(at))], ["k", "node"])
+
+    level = nodes.select("node", "slots").mapInArrow(emit, "k long, node long")
+    count = level.groupBy("k").agg(F.count("*").alias("n"), F.min("node").alias("least"), F.bit_xor(F.xxhash64("node")).alias("members")).filter("n > 1")
+    # Buckets of the same nodes, as near copies have them by most of their slots, are one.
+    count = checkpoint(count.groupBy("n", "least", "members").agg(F.min("k").alias("k")).select("k", "n"))
+    large = count.filter(F.col("n") > full)
+    return level.join(count.filter(F.col("n") <= full).select("k"), "k").select("k", "node"), None if large.isEmpty() else level.join(large, "k")
 
-    level, done, hubs, own = nodes.select("node", "slots").mapInArrow(emit, "k long, last int, node long"), None, None, None
-    while True:
-        count = checkpoint(level.groupBy("k").agg(F.count("*").alias("n"), F.min("node").alias("hub"), F.bit_xor(F.xxhash64("node")).alias("members")).filter("n > 1"))
-        # Buckets of the same nodes, as near copies have them by most of their slots, are one.
-        fit = level.join(count.filter(F.col("n") <= full).groupBy("n", "hub", "members").agg(F.min("k").alias("k")).select("k"), "k").select("k", "node")
-        done = fit if done is None else done.unionByName(fit)
-        large = count.filter(F.col("n") > full)
-        if large.isEmpty():
-            return done, hubs
-        large = checkpoint(level.join(large.select("k", "hub"), "k"))
-        to = large.filter("node <> hub").select("node", "hub")
-        hubs = to if hubs is None else hubs.unionByName(to)
-        if own is None:  # at most SLOTS of a node
-            own = checkpoint(large.groupBy("node").agg(F.collect_list(F.struct(F.col("last").alias("slot"), F.col("k").alias("own"))).alias("values")).filter(F.size("values") > 1))
-        later = large.join(own, "node").select("k", "node", F.explode(F.filter("values", lambda x: x["slot"] > F.col("last"))).alias("x"))
-        level = checkpoint(later.select(F.xxhash64("k", "x.own").alias("k"), F.col("x.slot").alias("last"), "node"))
-
-
-def neighbours(nodes: DataFrame, k: int = NEIGHBOURS, full: int = FULL) -> DataFrame:
-    """(node, other, like): each node's k nearest candidates of at least LEAST. nodes: (node, slots, signature), distinct."""
+
+def neighbours(nodes: DataFrame, k: int = NEIGHBOURS, full: int = FULL, block: int = BLOCK) -> DataFrame:
+    """(node, other, like): each node's k nearest of at least LEAST among all that share a slot's value with it.
+    nodes: (node, slots, signature), distinct.
+
+    A bucket of more than `full` nodes is compared in full too: it is cut into
+    blocks of about `block` nodes, and each two blocks meet in a group of
+    their own, so a task holds two blocks at a time.
+    """
+
+    def batch_of(a, b, like):
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(like)], ["node", "other", "like"])
 
     def match(batches):
         held = [b for b in batches if b.num_rows]
@@ -187,25 +224,44 @@ def neighbours(nodes: DataFrame, k: int = NEIGHBOURS, full: int = FULL) -> DataF
         del held, t
         for a, b, like in nearest_in_buckets(key, node, codes, k):
             keep = like >= LEAST * SCALE
-            yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep]), pa.array(like[keep])], ["node", "other", "like"])
-
-    def compare(batches):
+            yield batch_of(a[keep], b[keep], like[keep])
+
+    def compare(parts):
+        """Of one group: (block, node, codes) arrays."""
+        own, node, codes = (np.concatenate(x) for x in zip(*parts))
+        first = own == own.min()
+        sides = [(node[x], unpacked(codes[x])) for x in (first, ~first) if x.any()]
+        for x, y in ((0, 1), (1, 0)) if len(sides) == 2 else ((0, 0),):
+            for found in nearest_among(*sides[x], *sides[y], k):
+                yield batch_of(*found)
+
+    def meet(batches):
+        held, now = [], None
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            a, b = (batch.column(i).to_numpy() for i in (0, 1))
-            like = alike(*(unpacked(matrix(batch.column(i), np.uint8)) for i in (2, 3)))
-            keep = like >= LEAST * SCALE
-            a, b, like = a[keep], b[keep], like[keep]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([a, b])), pa.array(np.concatenate([b, a])), pa.array(np.concatenate([like, like]))], ["node", "other", "like"])
+            key = np.stack([batch.column(i).to_numpy() for i in range(3)], axis=1)
+            cut = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1).tolist(), len(key)]
+            for x, y in zip(cut[:-1], cut[1:]):
+                if x == y:
+                    continue
+                if held and tuple(key[x]) != now:
+                    yield from compare(held)
+                    held = []
+                now = tuple(key[x])
+                held.append((batch.column(3).to_numpy()[x:y].copy(), batch.column(4).to_numpy()[x:y].copy(), matrix(batch.column(5).slice(x, y - x), np.uint8).copy()))
+        if held:
+            yield from compare(held)
 
     kind = "node long, other long, like int"
     signed = nodes.select("node", "signature")
-    done, hubs = buckets(nodes, full)
-    pairs = done.join(signed, "node").select("k", "node", "signature").repartition("k").mapInArrow(match, kind)
-    if hubs is not None:
-        held = hubs.distinct().join(signed, "node").join(signed.toDF("hub", "own"), "hub")
-        pairs = pairs.unionByName(held.select("node", "hub", "signature", "own").mapInArrow(compare, kind))
+    small, large = buckets(nodes, full)
+    pairs = small.join(signed, "node").select("k", "node", "signature").repartition("k").mapInArrow(match, kind)
+    if large is not None:
+        last = F.ceil(F.col("n") / block).cast("int") - 1
+        own = large.withColumn("last", last).withColumn("own", F.pmod(F.xxhash64("node"), F.col("last") + 1).cast("int"))
+        groups = own.join(signed, "node").select("k", "own", "node", "signature", F.explode(F.sequence(F.lit(0), "last")).alias("x"))
+        groups = groups.select("k", F.least("own", "x").alias("i"), F.greatest("own", "x").alias("j"), "own", "node", "signature")
+        tasks = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # by number, since few bytes are much work here
+        pairs = pairs.unionByName(groups.repartition(tasks, "k", "i", "j").sortWithinPartitions("k", "i", "j").mapInArrow(meet, kind))
     best = Window.partitionBy("node").orderBy(F.desc("like"), "other")
     return pairs.distinct().withColumn("r", F.row_number().over(best)).filter(F.col("r") <= k).drop("r")
 

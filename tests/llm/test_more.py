@@ -251,6 +251,21 @@ def test_no_bucket_is_larger_than_the_limit(spark):
     assert np.mean([i ^ 1 in near.get(i, ()) for i in range(len(texts))]) > 0.95
 
 
+def test_large_buckets_are_compared_in_full(spark):
+    """Documents that share one frequent shingle and nothing else that is frequent: no limit drops a partner, at any size of the blocks."""
+    texts = ["all rights reserved " + prose(8 + i % 9, 7000 + i) for i in range(150)]
+    s, codes, nodes = nodes_of(spark, texts)
+    want = set()
+    for i in range(len(texts)):
+        like = packing.alike(np.broadcast_to(codes[i], codes.shape), codes)
+        meet = ((s[i] == s) & (s[i] != packing.NONE)).any(axis=1)
+        near = sorted((j for j in range(len(texts)) if j != i and meet[j] and like[j] >= packing.LEAST * packing.SCALE), key=lambda j: (-like[j], j))
+        want |= {(i, j, int(like[j])) for j in near[: packing.NEIGHBOURS]}
+    assert len(want) > 100
+    assert set(rows(packing.neighbours(nodes, full=8))) == want
+    assert set(rows(packing.neighbours(nodes, full=8, block=20))) == want
+
+
 def test_recall_against_true_similarity(spark):
     """Of each document's true four nearest by Jaccard similarity of at least 0.1, at least 0.9 are found, ties counted."""
     docs = {r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()}
