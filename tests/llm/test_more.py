@@ -14,6 +14,8 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from helpers import WORDS, awkward, prose, row, rows, table
+from pyspark.sql import Window
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from corbel.llm import media, mixing, packing, queries, toxicity
@@ -387,6 +389,38 @@ def test_maxima_equal_brute_force():
             assert np.allclose(got[i, cols], want, atol=1e-4) and np.allclose(top[i, cols], want + m.bias[k], atol=1e-4)
 
 
+def test_all_labelled_documents_are_learnt_from(spark):
+    """Toxic documents past the first 700 by the hash of ids have a word of their own, which has to be known."""
+    ids = spark.range(2400).select("id", F.rank().over(Window.partitionBy(F.col("id") % 2).orderBy(F.xxhash64("id"))).alias("r"))
+    late = {r.id for r in ids.collect() if r.r > 700}
+    docs = [row(i, prose(20, i) + (" vrxq" if i in late else " quarg") * (i % 2)) for i in range(2400)]
+    docs += [row(i, prose(20, i) + " vrxq" * (i % 2)) for i in range(2400, 2500)]
+    frame, labels = table(spark, docs), spark.createDataFrame([(i, None, i % 2) for i in range(2400)], "doc_id long, quality int, toxic int")
+    got = toxicity.toxic_documents(frame, labels).collect()
+    new = {r.doc_id for r in got if r.doc_id >= 2400}
+    assert new == set(range(2401, 2500, 2))
+
+
+def test_shards_are_averaged(spark):
+    """The model is the same for the same rows in any order, and as good by several shards."""
+    docs = toxic_docs()
+    frame = table(spark, [d for d, _ in docs])
+    labels = spark.createDataFrame([(i, None, t) for i, (_, t) in enumerate(docs)], "doc_id long, quality int, toxic int")
+    a, b = toxicity.train(frame, labels, 150), toxicity.train(frame.repartition(3, "text"), labels, 150)
+    assert (a.embed == b.embed).all() and a.thresholds == b.thresholds and a.out_bias == b.out_bias
+    got = {r.doc_id for r in toxicity.score(frame, a).filter("toxic").collect()}
+    want = {i for i, (_, t) in enumerate(docs) if t}
+    assert len(got & want) >= 0.9 * len(want) and len(got - want) <= 0.02 * len(docs)
+    start = {"embed": np.zeros((3, 2), dtype=np.float32), "out": np.zeros(2, dtype=np.float32)}
+    one, two = ({k: v.copy() for k, v in start.items()} for _ in range(2))
+    one["embed"][0], two["embed"][0], two["embed"][1], one["out"][:], two["out"][0] = 1, 3, 5, 4, 2
+    mean = toxicity.averaged(start, [toxicity.changed(start, x) for x in (one, two)])
+    assert mean["embed"].tolist() == [[2, 2], [5, 5], [0, 0]] and mean["out"].tolist() == [3, 4]
+    x, _ = toxicity.features(pa.array([prose(300, 1), "été ÉTÉ  漢字 🚀"]))
+    assert (toxicity.unpacked(toxicity.packed(x).tobytes()) == x).all()
+    assert rows(toxicity.labelled(frame, labels, 5).orderBy("id")) == rows(toxicity.labelled(frame, labels).orderBy("id"))
+
+
 def test_gradients():
     rng = np.random.default_rng(0)
     docs = [(np.frombuffer(toxicity.features(pa.array([prose(9, i)]))[0].tobytes(), dtype=np.int32).reshape(-1, 3), i % 2) for i in range(4)]
