@@ -268,6 +268,29 @@ def test_large_buckets_are_compared_in_full(spark):
     assert set(rows(packing.neighbours(nodes, full=8, block=20))) == want
 
 
+def test_packing_stage_follows_all_links(spark):
+    """The pipeline's last stage on more documents with one frequent shingle than a bucket has: its paths are those of brute force."""
+    docs = table(spark, [row(i, "all rights reserved " + prose(8 + i % 9, 7000 + i)) for i in range(packing.FULL + 90)])
+    held = sorted(packing.sketch_table(docs).collect(), key=lambda r: r.node)
+    node = [r.node for r in held]
+    s, codes = (np.stack([np.frombuffer(r[c], dtype=kind) for r in held]) for c, kind in (("slots", np.uint64), ("signature", np.uint8)))
+    codes, edges = packing.unpacked(codes), set()
+    for i in range(len(held)):
+        like = packing.alike(np.broadcast_to(codes[i], codes.shape), codes)
+        meet = ((s[i] == s) & (s[i] != packing.NONE)).any(axis=1)
+        near = sorted((j for j in range(len(held)) if j != i and meet[j] and like[j] >= packing.LEAST * packing.SCALE), key=lambda j: (-like[j], j))
+        edges |= {(node[min(i, j)], node[max(i, j)], int(like[j])) for j in near[: packing.NEIGHBOURS]}
+    ties = spark.createDataFrame(sorted(edges), "a long, b long, like int").withColumn("tie", F.xxhash64("a", "b"))
+    windows = corpus_pipeline.packing(spark, docs, None).collect()
+    got = list(dict.fromkeys(p.doc_id for w in sorted(windows, key=lambda w: w.window_id) for p in w.segments))
+    doc, at = {r.node: r.id for r in held}, {d: i for i, d in enumerate(got)}
+    paths = packing.chains(sorted({n for e in edges for n in e[:2]}), rows(ties))
+    for path in paths:
+        places = [at[doc[n]] for n in path]
+        assert places == list(range(places[0], places[0] + len(path)))
+    assert len(got) == len(held) and max(map(len, paths)) > 5
+
+
 def test_recall_against_true_similarity(spark):
     """Of each document's true four nearest by Jaccard similarity of at least 0.1, at least 0.9 are found, ties counted."""
     docs = {r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()}
