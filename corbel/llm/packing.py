@@ -202,6 +202,16 @@ def buckets(nodes: DataFrame, full: int = FULL) -> tuple[DataFrame, DataFrame |
     return level.join(count.filter(F.col("n") <= full).select("k"), "k").select("k", "node"), None if large.isEmpty() else level.join(large, "k")
 
 
+def together(df: DataFrame, key: str) -> DataFrame:
+    """df with all rows of a key in one task.
+
+    It is divided by a hash of the key. A repartition by the key itself is left
+    out where a join below it is by that key, and if this join then becomes a
+    broadcast join or has its large parts split, several tasks get rows of a key.
+    """
+    return df.repartition(F.xxhash64(key))
+
+
 def neighbours(nodes: DataFrame, k: int = NEIGHBOURS, full: int = FULL, block: int = BLOCK) -> DataFrame:
     """(node, other, like): each node's k nearest of at least LEAST among all that share a slot's value with it.
     nodes: (node, slots, signature), distinct.
@@ -254,7 +264,7 @@ def neighbours(nodes: DataFrame, k: int = NEIGHBOURS, full: int = FULL, block: i
     kind = "node long, other long, like int"
     signed = nodes.select("node", "signature")
     small, large = buckets(nodes, full)
-    pairs = small.join(signed, "node").select("k", "node", "signature").repartition("k").mapInArrow(match, kind)
+    pairs = together(small.join(signed, "node").select("k", "node", "signature"), "k").mapInArrow(match, kind)
     if large is not None:
         last = F.ceil(F.col("n") / block).cast("int") - 1
         own = large.withColumn("last", last).withColumn("own", F.pmod(F.xxhash64("node"), F.col("last") + 1).cast("int"))
@@ -373,7 +383,7 @@ def path_order(nodes: DataFrame, k: int = NEIGHBOURS, most: int = MOST_NODES) ->
             yield pa.RecordBatch.from_arrays([pa.array([n for p in paths for n in p], pa.int64()), pa.array(np.full(sum(size), c[x])), first, pa.array(np.concatenate([np.arange(n) for n in size]))], ["node", "component", "path", "seq"])
 
     def walked(part: DataFrame) -> DataFrame:
-        return part.select("component", "a", "b", "like", "tie").repartition("component").mapInArrow(run, "node long, component long, path struct<degree: long, node: long>, seq long")
+        return together(part.select("component", "a", "b", "like", "tie"), "component").mapInArrow(run, "node long, component long, path struct<degree: long, node: long>, seq long")
 
     if large.isEmpty():
         return walked(inside)

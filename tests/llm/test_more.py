@@ -268,6 +268,25 @@ def test_large_buckets_are_compared_in_full(spark):
     assert set(rows(packing.neighbours(nodes, full=8, block=20))) == want
 
 
+def linked_nodes(spark, n=20_000):
+    """(group of each node, nodes): nodes 0 to 39 and each four after them share one slot's value and most of their signature."""
+    rng, group = np.random.default_rng(5), np.maximum(np.arange(n) // 4, 9)
+    s = rng.permutation(n * packing.SLOTS).reshape(n, packing.SLOTS).astype(np.uint64) | np.arange(packing.SLOTS, dtype=np.uint64) << np.uint64(60)
+    s[:, 3] = s[group, 3]
+    codes = rng.integers(1, 64, (n, packing.BINS)).astype(np.uint8)[group]
+    codes[:, ::4] = rng.integers(1, 64, (n, packing.BINS // 4))
+    at = rng.permutation(n)
+    held = [(int(i), bytearray(s[i].tobytes()), bytearray(x.tobytes())) for i, x in zip(at, packing.packed(codes[at]))]
+    return group, packing.checkpoint(spark.createDataFrame(held, "node long, slots binary, signature binary"))
+
+
+def test_no_bucket_is_split_between_tasks(spark):
+    """Of a size at which joins by a bucket's key become broadcast joins: all nodes of a bucket still meet."""
+    group, nodes = linked_nodes(spark)
+    got = {(a, b) for a, b, _ in rows(packing.neighbours(nodes)) if a >= 40}
+    assert got == {(a, b) for a in range(40, len(group)) for b in range(a // 4 * 4, a // 4 * 4 + 4) if a != b}
+
+
 def test_packing_stage_follows_all_links(spark):
     """The pipeline's last stage on more documents with one frequent shingle than a bucket has: its paths are those of brute force."""
     docs = table(spark, [row(i, "all rights reserved " + prose(8 + i % 9, 7000 + i)) for i in range(packing.FULL + 90)])
