@@ -7,13 +7,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
-from .blocks import best, joined_batches
+from .blocks import Best, best, joined_batches, ranks, slices
 
 K1, B = 1.5, 0.75
 #: (query, term) rows up to which the weights are sent to all tasks; more are joined by shuffles.
 MOST_SENT = 200_000
 #: Questions and cells of one numpy pass of the scoring.
-QUERY_BLOCK, CELLS = 256, 1 << 22
+QUERY_BLOCK, CELLS = 256, 1 << 20
 
 
 def _terms(chunks: DataFrame, id_col: str) -> DataFrame:
@@ -76,26 +76,36 @@ def top(rows: DataFrame, k: int, *keys: str) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def _block_scores(row, term, part, weights, size: int, terms: int):
-    """Yields (first query, (queries, size) scores) over blocks of questions. row, term, part: postings of `size`
-    chunks in order of row; weights: (query numbers, terms, weights)."""
+def _block_scores(row, term, part, weights, size: int):
+    """Yields (first query, first chunk, (queries, chunks) scores) over blocks of questions and chunks, each array of
+    at most CELLS cells or one row. row, term, part: postings of `size` chunks in order of row; weights: (query
+    numbers in order, terms, weights)."""
     q, t, w = weights
+    here, term = np.unique(term, return_inverse=True)
+    if not len(here):
+        return
+    at = np.searchsorted(here, t)
+    own = here[np.minimum(at, len(here) - 1)] == t
+    q, t, w = q[own], at[own], w[own]
     edge = np.searchsorted(row, np.arange(size + 1))
-    for at in range(0, int(q.max()) + 1 if len(q) else 0, QUERY_BLOCK):
-        own = (q >= at) & (q < at + QUERY_BLOCK)
-        n = min(QUERY_BLOCK, int(q.max()) + 1 - at)
-        table = np.zeros((terms, n))
-        table[t[own], q[own] - at] = w[own]
-        out, first = np.zeros((size, n)), 0
+    last = int(q[-1]) + 1 if len(q) else 0
+    n = max(1, min(QUERY_BLOCK, CELLS // len(here)))
+    for at in range(0, last, n):
+        a, b = np.searchsorted(q, (at, at + n))
+        if a == b:
+            continue
+        m = min(n, last - at)
+        table, first = np.zeros((len(here), m)), 0
+        table[t[a:b], q[a:b] - at] = w[a:b]
         while first < size:
-            last = max(first + 1, int(np.searchsorted(edge, edge[first] + CELLS // n, side="right")) - 1)
-            last = min(last, size)
-            a, b = edge[first], edge[last]
-            if b > a:
-                full = first + np.flatnonzero(np.diff(edge[first : last + 1]))
-                out[full] = np.add.reduceat(table[term[a:b]] * part[a:b, None], edge[full] - a, axis=0)
-            first = last
-        yield at, out.T
+            # so many chunks, and no more postings but for one chunk
+            to = min(first + max(1, CELLS // m), max(first + 1, int(np.searchsorted(edge, edge[first] + CELLS // m, side="right")) - 1), size)
+            x, y = edge[first], edge[to]
+            if y > x:
+                out, full = np.zeros((to - first, m)), np.flatnonzero(np.diff(edge[first : to + 1]))
+                out[full] = np.add.reduceat(table[term[x:y]] * part[x:y, None], edge[first + full] - x, axis=0)
+                yield at, first, out.T
+            first = to
 
 
 def search(chunks: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "doc_id", index: DataFrame | None = None) -> DataFrame:
@@ -103,8 +113,8 @@ def search(chunks: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "do
 
     With `index`, postings of the chunks, no text is read. The asked terms,
     their document frequencies and weights go over the driver as long as there
-    are at most MOST_SENT of them; each task scores whole blocks of chunks
-    against all questions by sparse products and hands on its k best. Beyond
+    are at most MOST_SENT of them; each task scores blocks of chunks against
+    blocks of questions by sparse products and hands on its k best. Beyond
     that number postings, frequencies and weights are joined by shuffles, with
     the same result.
     """
@@ -118,7 +128,7 @@ def search(chunks: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "do
 
     def from_texts(batches):
         """The postings of asked terms, by number, and a row -1 with chunks and tokens for each batch."""
-        for batch in batches:
+        for batch in slices(batches):
             lists = batch.column(1)
             size = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
             at = pc.index_in(lists.flatten(), names)
@@ -156,24 +166,28 @@ def search(chunks: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "do
         avgdl = total / max(n, 1)
     number = pc.index_in(held.column("term"), names).to_numpy().astype(np.int64)
     weight = held.column("qn").to_numpy() * np.log((n - df[number] + 0.5) / (df[number] + 0.5) + 1)
-    weights = pc.index_in(held.column("query_id"), ids).to_numpy().astype(np.int64), number, weight
+    asker = pc.index_in(held.column("query_id"), ids).to_numpy().astype(np.int64)
+    by_asker = np.argsort(asker, kind="stable")
+    weights = asker[by_asker], number[by_asker], weight[by_asker]
 
     def run(batches):
+        kept = Best(k)
         for t in joined_batches(batches, "chunk_id"):
             t = t.filter(pc.greater_equal(t.column("term"), 0))
             if not t.num_rows:
                 continue
             own = t.column("chunk_id").combine_chunks().dictionary_encode()
-            rank = np.empty(len(own.dictionary), dtype=np.int64)
-            order = pc.sort_indices(own.dictionary)
-            rank[order.to_numpy()] = np.arange(len(order))
-            row, names_of = rank[own.indices.to_numpy(zero_copy_only=False)], own.dictionary.take(order)
+            row, names_of = ranks(own.dictionary)[own.indices.to_numpy(zero_copy_only=False)], own.dictionary.take(pc.sort_indices(own.dictionary))
             by = np.argsort(row, kind="stable")
             term, tf, dl = (t.column(c).to_numpy()[by] for c in ("term", "tf", "dl"))
             part = tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avgdl))
-            for at, s in _block_scores(row[by], term, part, weights, len(order), len(names)):
+            for at, first, s in _block_scores(row[by], term, part, weights, len(names_of)):
                 s[s == 0] = -np.inf
                 a, c = best(s, k)
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(a + at)), names_of.take(pa.array(c)), pa.array(s[a, c])], ["query_id", "chunk_id", "score"])
+                kept.add(a + at, names_of.take(pa.array(c + first)), s[a, c])
+        yield from kept.rows(ids)
 
-    return top(used.mapInArrow(run, f"query_id {q_type}, chunk_id {id_type}, score double"), k)
+    kind = f"query_id {q_type}, chunk_id {id_type}, score double"
+    # Texts are counted and scored by one Python worker of a task.
+    found = used.mapInArrow(run, kind) if index is not None else _terms(chunks, id_col).mapInArrow(lambda batches: run(from_texts(batches)), kind)
+    return top(found, k)
