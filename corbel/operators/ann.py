@@ -2,12 +2,11 @@
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bm25
-from .blocks import best, joined_batches
+from .nearest import nearest
 
 #: Vectors at most that the centroids are fitted to; every vector is indexed.
 SAMPLE = 100_000
@@ -69,59 +68,18 @@ def load(spark: SparkSession, path: str) -> tuple[DataFrame, np.ndarray]:
     return spark.read.parquet(f"{path}/vectors"), np.array([r.centroid for r in rows], dtype=np.float32)
 
 
-def search(queries: DataFrame, index: DataFrame, centroids: np.ndarray, k: int = 10, probes: int = PROBES, others: bool = False, salts: int = 8) -> DataFrame:
+def search(queries: DataFrame, index: DataFrame, centroids: np.ndarray, k: int = 10, probes: int = PROBES, others: bool = False) -> DataFrame:
     """(query_id, chunk_id, score, rank): the k nearest by cosine among the vectors of the `probes` lists nearest to
     each query (query_id, embedding). index as from assign().
 
-    Queries and vectors meet by list, and each list's vectors are spread over
-    `salts` tasks, so that a large list is no task of its own.
+    Groups of queries and of vectors meet in tasks of bounded size, in which each list is compared with the queries
+    that probe it; see nearest(). A query is sent once to each group, not to each list.
     """
-    q_type, id_type = queries.select("query_id").dtypes[0][1], index.select("chunk_id").dtypes[0][1]
-    dim = centroids.shape[1]
 
-    def probe(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            s = _matrix(batch.column(1), dim) @ centroids.T
-            near = np.argsort(-s, axis=1, kind="stable")[:, :probes]
-            at = np.repeat(np.arange(batch.num_rows), near.shape[1])
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), batch.column(1).take(pa.array(at)), pa.array(near.ravel().astype(np.int32))], ["query_id", "embedding", "list"])
-
-    asked = queries.filter("embedding is not null").select("query_id", F.col("embedding").cast("array<float>").alias("embedding")).mapInArrow(probe, f"query_id {q_type}, embedding array<float>, list int")
-    asked = asked.select("list", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), "query_id", "embedding", F.lit(None).cast(id_type).alias("chunk_id"))
-    held = index.select("list", F.pmod(F.xxhash64("chunk_id"), F.lit(salts)).cast("int").alias("salt"), F.lit(None).cast(q_type).alias("query_id"), "embedding", "chunk_id")
-    both = asked.unionByName(held).withColumn("cell", F.col("list") * salts + F.col("salt"))
-
-    def match(batches):
-        asked, cell = None, None
-        for t in joined_batches(batches):
-            cells = t.column("cell").to_numpy()
-            for own in np.unique(cells):
-                part = t.filter(pc.equal(t.column("cell"), own))
-                mine = part.filter(pc.is_valid(part.column("query_id")))
-                if own != cell:
-                    asked, cell = None, own
-                if mine.num_rows:
-                    mine = pa.concat_tables([asked, mine]) if asked is not None else mine
-                    asked = mine.combine_chunks()
-                rest = part.filter(pc.is_valid(part.column("chunk_id"))).combine_chunks()
-                if asked is None or not rest.num_rows:
-                    continue
-                q, b = (x.column(c).combine_chunks() for x, c in ((asked, "query_id"), (rest, "chunk_id")))
-                order = pc.sort_indices(b)
-                b = b.take(order)
-                y = _matrix(rest.column("embedding").combine_chunks().take(order), dim).astype(np.float64)
-                for at in range(0, len(q), 1024):
-                    x = _matrix(asked.column("embedding").combine_chunks().slice(at, 1024), dim).astype(np.float64)
-                    s = np.round(x @ y.T, 12)
-                    if others:
-                        same = pc.index_in(q.slice(at, 1024), b)
-                        row = np.flatnonzero(same.is_valid().to_numpy(zero_copy_only=False))
-                        s[row, same.drop_null().to_numpy()] = -np.inf
-                    r, c = best(s, k)
-                    yield pa.RecordBatch.from_arrays([q.take(pa.array(r + at)), b.take(pa.array(c)), pa.array(s[r, c])], ["query_id", "chunk_id", "score"])
-
-    # Within a task the rows of a cell come together, its queries first.
-    placed = both.repartition("cell").sortWithinPartitions("cell", F.col("query_id").isNull())
-    return bm25.top(placed.select("cell", "query_id", "embedding", "chunk_id").mapInArrow(match, f"query_id {q_type}, chunk_id {id_type}, score double"), k)
+    def probe(x):
+        near = np.argsort(-(x @ centroids.T), axis=1, kind="stable")[:, :probes]
+        out = np.zeros((len(x), len(centroids)), dtype=bool)
+        out[np.arange(len(x))[:, None], near] = True
+        return out
+
+    return bm25.top(nearest(queries, index.withColumnRenamed("list", "part"), k, others, probe), k)

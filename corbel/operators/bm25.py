@@ -23,12 +23,12 @@ def _terms(chunks: DataFrame, id_col: str) -> DataFrame:
 def postings(chunks: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """(chunk_id, term, tf, dl): one row for each term of each chunk. Null texts have no terms.
 
-    The terms of a chunk are counted in its own array, so that nothing is shuffled.
+    The terms of a chunk are counted in its own array, so that nothing is shuffled. A batch is worked on in slices.
     """
     id_type = dict(chunks.select(F.col(id_col).alias("i")).dtypes)["i"]
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             lists = batch.column(1)
             size = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
             words = lists.flatten().dictionary_encode()

@@ -2,8 +2,6 @@
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,10 +9,9 @@ from ..functions.text import STOP_WORDS, split_words, words
 from ..functions.vectors import cosine
 from ..shared import checkpoint
 from . import bm25
-from .blocks import best
+from .nearest import nearest
 
 RRF = 60
-BLOCK = 1024
 
 
 def metadata_filter(rows: DataFrame, conditions: dict[str, str], metadata: str = "metadata") -> DataFrame:
@@ -41,64 +38,16 @@ def vector_search(chunks: DataFrame, query: list[float], k: int = 10, filters: d
     return best
 
 
-def _blocks(vectors: DataFrame, size: int) -> DataFrame:
-    """Vectors (id, embedding) packed to rows (ids, matrix, dim) of up to `size` vectors of one dimension."""
-    id_type = vectors.dtypes[0][1]
-
-    def run(batches):
-        for batch in batches:
-            for at in range(0, batch.num_rows, size):
-                part = batch.slice(at, size)
-                dims = pc.list_value_length(part.column(1)).to_numpy(zero_copy_only=False)
-                for d in np.unique(dims):
-                    own = part.filter(pa.array(dims == d))
-                    v = own.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float32) if d else np.zeros(own.num_rows, dtype=np.float32)
-                    yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, own.num_rows], pa.int32()), own.column(0)), pa.array([v.tobytes()], pa.binary()), pa.array([max(d, 1)], pa.int32())], ["ids", "matrix", "dim"])
-
-    return vectors.mapInArrow(run, f"ids array<{id_type}>, matrix binary, dim int")
-
-
-def unit(v: np.ndarray) -> np.ndarray:
-    """Rows scaled to length 1; zero rows stay."""
-    n = np.linalg.norm(v, axis=1, keepdims=True)
-    return np.divide(v, n, out=np.zeros_like(v), where=n > 0)
-
-
-def _nearest(q_ids: pa.Array, x: np.ndarray, b_ids: pa.Array, y: np.ndarray, k: int, others: bool) -> pa.RecordBatch:
-    """Each row of x with its k nearest rows of y; of unequal dimensions the lesser one counts, as in cosine()."""
-    d = min(x.shape[1], y.shape[1])
-    order = pc.sort_indices(b_ids)
-    b_ids, y = b_ids.take(order), y[order.to_numpy()]
-    s = np.round(unit(x[:, :d].astype(np.float64)) @ unit(y[:, :d].astype(np.float64)).T, 12)
-    if others:
-        at = pc.index_in(q_ids, b_ids)
-        own = np.flatnonzero(at.is_valid().to_numpy(zero_copy_only=False))
-        s[own, at.drop_null().to_numpy()] = -np.inf
-    a, c = best(s, k)
-    return pa.RecordBatch.from_arrays([q_ids.take(pa.array(a)), b_ids.take(pa.array(c)), pa.array(s[a, c])], ["query_id", "chunk_id", "score"])
-
-
-def knn_join(queries: DataFrame, base: DataFrame, k: int = 5, others: bool = False, block: int = BLOCK) -> DataFrame:
+def knn_join(queries: DataFrame, base: DataFrame, k: int = 5, others: bool = False) -> DataFrame:
     """(query_id, chunk_id, score, rank): each query's k nearest of base, exactly.
 
-    queries (query_id, embedding) and base (chunk_id, embedding) are packed to
-    matrix blocks, and every pair of blocks is one matrix product with a top k
-    of its own. Work grows with the product of both sides, so this is for a
-    stated set of questions; ann.search() is for more. Ids may be of any type
-    that sorts; of unequal dimensions the lesser one counts; a null embedding
-    gives no row. With others=True a query isn't its own neighbour.
+    queries (query_id, embedding) and base (chunk_id, embedding) are compared
+    by cells of bounded size, each a task of its own; see nearest(). Work
+    grows with the product of both sides. Ids may be of any type that sorts;
+    of unequal dimensions the lesser one counts; a null embedding gives no
+    row. With others=True a query isn't its own neighbour.
     """
-    q_type, id_type = queries.select("query_id").dtypes[0][1], base.select("chunk_id").dtypes[0][1]
-    q = _blocks(queries.filter("embedding is not null").select("query_id", "embedding"), block)
-    b = _blocks(base.filter("embedding is not null").select("chunk_id", "embedding"), block).toDF("ids2", "matrix2", "dim2")
-
-    def run(batches):
-        for batch in batches:
-            for i in range(batch.num_rows):
-                x, y = (np.frombuffer(batch.column(j)[i].as_buffer(), dtype=np.float32).reshape(-1, batch.column(j + 1)[i].as_py()) for j in (1, 4))
-                yield _nearest(batch.column(0)[i].values, x, batch.column(3)[i].values, y, k, others)
-
-    return bm25.top(q.crossJoin(b).mapInArrow(run, f"query_id {q_type}, chunk_id {id_type}, score double"), k)
+    return bm25.top(nearest(queries, base, k, others), k)
 
 
 def rrf(vector: DataFrame, keyword: DataFrame, k: int = 10, alpha: float = 0.5) -> DataFrame:

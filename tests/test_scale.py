@@ -5,7 +5,7 @@ import tracemalloc
 import numpy as np
 import pyarrow as pa
 
-from corbel.operators import bm25
+from corbel.operators import ann, bm25, nearest, search
 from corbel.operators.blocks import Best, slices
 
 
@@ -53,3 +53,56 @@ def test_slices_and_best():
     want = sorted((q, s, i) for q in range(5) for _, s, i in sorted(r for r in rows if r[0] == q)[:3])
     got = [r for b in kept.rows(pa.array(["a", "b", "c", "d", "e"])) for r in b.to_pylist()]
     assert sorted(("abcde".index(r["query_id"]), -r["score"], r["chunk_id"]) for r in got) == want
+
+
+def brute(ids, v, k, allowed=None):
+    """(query, neighbour): score over all pairs in doubles, ties by the lesser id."""
+    with np.errstate(invalid="ignore", divide="ignore"):
+        u = np.nan_to_num(v.astype(np.float64) / np.linalg.norm(v.astype(np.float64), axis=1, keepdims=True))
+    s = np.round(u @ u.T, 12)
+    np.fill_diagonal(s, -np.inf)
+    if allowed is not None:
+        s[~allowed] = -np.inf
+    out = {}
+    for i in range(len(v)):
+        near = sorted((c for c in range(len(v)) if np.isfinite(s[i, c])), key=lambda c: (-round(s[i, c], 9), ids[c]))
+        out |= {(ids[i], ids[c]): s[i, c] for c in near[:k]}
+    return out
+
+
+def vectors(n=700):
+    rng = np.random.default_rng(8)
+    v = rng.standard_normal((n, 16)).astype(np.float32)
+    v[50:110], v[300:305] = v[49], 0  # many copies and zeros
+    return rng.permutation(10 * n)[:n].tolist(), v
+
+
+def test_nearest_in_cells(spark, monkeypatch):
+    """Small groups, blocks and parts give the same as brute force, and a task hands on k rows of a question."""
+    for name, value in (("BLOCK", 64), ("QUESTIONS", 16 * 150), ("VECTORS", 16 * 250), ("ROWS", 50), ("COLUMNS", 80), ("FIRST", 30), ("EXACT", 16 * 100)):
+        monkeypatch.setattr(nearest, name, value)
+    ids, v = vectors()
+    rows = spark.createDataFrame(list(zip(ids, v.tolist())), "chunk_id long, embedding array<float>").repartition(3)
+    asked = rows.withColumnRenamed("chunk_id", "query_id")
+    assert nearest.nearest(asked, rows, 5, True).count() == len(ids) * 5 * 3  # each of three groups' best, not each block's
+    got = {(r.query_id, r.chunk_id): r.score for r in search.knn_join(asked, rows, 5, others=True).collect()}
+    want = brute(ids, v, 5)
+    assert got.keys() == want.keys() and max(abs(got[x] - want[x]) for x in got) < 1e-11
+
+
+def test_lists_in_cells(spark, monkeypatch):
+    """The inverted file gives what brute force gives among the probed lists, and sends a query once to a group."""
+    for name, value in (("BLOCK", 64), ("VECTORS", 16 * 250), ("FIRST", 30)):
+        monkeypatch.setattr(nearest, name, value)
+    ids, v = vectors()
+    rows = spark.createDataFrame(list(zip(ids, v.tolist())), "chunk_id long, embedding array<float>").repartition(3)
+    centroids = ann.fit(rows, 12)
+    u = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-30)
+    s = u @ centroids.T
+    probed, own = np.argsort(-s, axis=1, kind="stable")[:, :4], s.argmax(axis=1)
+    want = brute(ids, v, 5, (probed[:, None, :] == own[None, :, None]).any(axis=2))
+    found = ann.search(rows.withColumnRenamed("chunk_id", "query_id"), ann.assign(rows, centroids), centroids, 5, 4, others=True)
+    got = {(r.query_id, r.chunk_id): r.score for r in found.collect()}
+    same = got.keys() & want.keys()
+    assert len(got) == len(want) and len(same) > 0.99 * len(want)  # copies of one score in doubles may differ in floats
+    assert max(abs(got[x] - want[x]) for x in same) < 1e-6
