@@ -106,3 +106,27 @@ def test_lists_in_cells(spark, monkeypatch):
     same = got.keys() & want.keys()
     assert len(got) == len(want) and len(same) > 0.99 * len(want)  # copies of one score in doubles may differ in floats
     assert max(abs(got[x] - want[x]) for x in same) < 1e-6
+
+
+class Captured:
+    """Takes the place of a DataFrame, to have the function that its tasks would run."""
+
+    def mapInArrow(self, run, schema):
+        return run
+
+
+def test_postings_by_slices(spark, monkeypatch):
+    """A batch of many tokens is counted in parts."""
+    monkeypatch.setattr(bm25, "_terms", lambda chunks, id_col: Captured())
+    run = bm25.postings(spark.createDataFrame([], "doc_id long"))
+    n, each = 4000, 500
+    words = pa.array([f"w{i}" for i in range(1000)])
+    lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * each, pa.int32()), words.take(pa.array(np.arange(n * each) % 1000)))
+    batch, rows, total = pa.RecordBatch.from_arrays([pa.array(range(n)), lists], ["chunk_id", "terms"]), 0, 0
+    tracemalloc.start()
+    for part in run([batch]):
+        rows, total = rows + part.num_rows, total + int(np.sum(part.column("tf").to_numpy()))
+        assert set(part.column("dl").to_pylist()) == {each}
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows == total == n * each and peak < 30e6, peak
