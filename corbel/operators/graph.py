@@ -1,6 +1,8 @@
 """The entity graph: entities of chunks, co-occurrence, bounded traversal and retrieval by it."""
 
-import pandas as pd
+from itertools import accumulate
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +22,8 @@ COMMON = frozenset(
     only other own right same since small some still such than that the then there these this those through too very
     what when where which while who why without about""".split()
 )
+#: Texts whose names are sought before the next ones are read.
+SLICE = 256
 PRECEDENCE = ("TECH", "CONCEPT", "PROPER_NOUN", "NOUN")
 
 
@@ -50,6 +54,18 @@ def proper_nouns(text: str) -> list[tuple[str, str]]:
     return list(out)
 
 
+def nouns_of(texts: pa.Array) -> pa.Array:
+    """proper_nouns() of each text, by SLICE texts at a time, so that few strings and tuples are held at once."""
+    kind = pa.list_(pa.struct([("name", pa.string()), ("type", pa.string())]))
+    parts = [pa.array([], kind)]
+    for at in range(0, len(texts), SLICE):
+        found = [proper_nouns(t or "") for t in texts.slice(at, SLICE).to_pylist()]
+        ends = pa.array([0, *accumulate(map(len, found))], pa.int32())
+        names, types = (pa.array([e[i] for f in found for e in f], pa.string()) for i in (0, 1))
+        parts.append(pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays([names, types], fields=list(kind.value_type))))
+    return pa.concat_arrays([p.cast(kind) for p in parts])
+
+
 def dictionary_terms(low: Column, terms: dict[str, list[str]] | None = None) -> Column:
     """array<struct(name, type)> of the terms that the lower-case text `low` contains."""
     own = TERMS if terms is None else terms
@@ -63,9 +79,9 @@ def entities(chunks: DataFrame, terms: dict[str, list[str]] | None = None, nouns
     found = dictionary_terms(F.col("low"), terms)
     if nouns:
 
-        @F.pandas_udf("array<struct<name:string,type:string>>")
-        def run(s: pd.Series) -> pd.Series:
-            return s.map(lambda t: [{"name": n, "type": k} for n, k in proper_nouns(t or "")])
+        @F.arrow_udf("array<struct<name:string,type:string>>")
+        def run(texts: pa.Array) -> pa.Array:
+            return nouns_of(texts)
 
         found = F.concat(found, run("text"))
     order = F.create_map(*[x for i, k in enumerate(PRECEDENCE) for x in (F.lit(k), F.lit(i))])

@@ -5,7 +5,7 @@ import tracemalloc
 import numpy as np
 import pyarrow as pa
 
-from corbel.operators import ann, bm25, nearest, search
+from corbel.operators import ann, bm25, graph, nearest, search
 from corbel.operators.blocks import Best, slices
 
 
@@ -130,3 +130,15 @@ def test_postings_by_slices(spark, monkeypatch):
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert rows == total == n * each and peak < 30e6, peak
+
+
+def test_nouns_by_slices():
+    """Names are turned to Arrow as they are found: no object for each of a batch's names."""
+    texts = ["see " + " ".join(f"Aa{i}x{j} and" for j in range(40)) for i in range(3000)] + [None, "", "the Big City. Then"]
+    held, want = pa.array(texts), [graph.proper_nouns(t or "") for t in texts]
+    tracemalloc.start()
+    got = graph.nouns_of(held)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [[(e["name"], e["type"]) for e in x] for x in got.to_pylist()] == want
+    assert peak < 8e6, peak
