@@ -37,8 +37,10 @@ def dequantize_uint8(codes: Column, low: Column, high: Column) -> Column:
 
 def dummy_embedding(text: Column, dim: int) -> Column:
     """e[i] = (code of hex digit i mod 64 of the text's SHA-256 - 96) / 26."""
-    digest = F.sha2(text, 256)
-    return F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: ((F.ascii(F.substr(digest, F.pmod(i, F.lit(64)) + 1, F.lit(1))) - 96) / F.lit(26.0)).cast("float"))
+    # The digest is an element of an array, since what a lambda takes from outside is worked out again for each of its elements.
+    code = lambda h, i: F.ascii(F.substr(h, F.pmod(i, F.lit(64)) + 1, F.lit(1)))
+    values = lambda h: F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: ((code(h, i) - 96) / F.lit(26.0)).cast("float"))
+    return F.get(F.transform(F.array(F.sha2(text, 256)), values), F.lit(0))
 
 
 def embed_dummy(texts: list[str], dim: int) -> np.ndarray:

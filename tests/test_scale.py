@@ -1,10 +1,13 @@
 """Memory and work of single tasks, on tables that are large in one direction."""
 
+import time
 import tracemalloc
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
+from corbel.functions import vectors as vector_functions
 from corbel.operators import ann, bm25, graph, nearest, search
 from corbel.operators.blocks import Best, slices
 
@@ -142,3 +145,11 @@ def test_nouns_by_slices():
     tracemalloc.stop()
     assert [[(e["name"], e["type"]) for e in x] for x in got.to_pylist()] == want
     assert peak < 8e6, peak
+
+
+def test_embedding_hashes_once(spark):
+    """One digest of a text, not one for each dimension."""
+    text = spark.range(1).select(F.repeat(F.lit("a long text "), 1_000_000).alias("text"))
+    began = time.time()
+    assert text.select(F.size(vector_functions.dummy_embedding(F.col("text"), 4096)).alias("n"), F.array_max(vector_functions.dummy_embedding(F.col("text"), 4096)).alias("m")).first().n == 4096
+    assert time.time() - began < 15  # 4,096 digests of 12 MB take far longer
